@@ -8,11 +8,13 @@ the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphask.functions import text as tx
-from graphask.plans import broadcast_if_bounded, find_hot_keys, salted_join
+from graphask.plans import broadcast_if_bounded, cut_lineage, find_hot_keys, salted_join
 from graphask.plans.broadcast import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, Size, size_columns
 
 NO_VARIANTS = ("", "")
@@ -48,7 +50,7 @@ def build_lexicon(
 
 
 class Lexicon:
-    """A match table together with its measured facts: phrase lengths and size."""
+    """A match table, materialised once, with its measured facts: phrase lengths and size."""
 
     def __init__(
         self,
@@ -59,7 +61,7 @@ class Lexicon:
         max_bytes: int = MAX_BROADCAST_BYTES,
     ) -> None:
         self.variants = variants
-        table = build_lexicon(dictionary, vocabulary, variants)
+        table = cut_lineage(build_lexicon(dictionary, vocabulary, variants))
         facts = table.agg(
             *size_columns(table), F.sort_array(F.collect_set("n_tokens")).alias("lengths")
         ).first()
@@ -145,3 +147,11 @@ def last_mentions(terms: DataFrame, key: str = "question_id") -> DataFrame:
         .agg(F.max_by("word", "pos").alias("word"))
     )
 
+
+def highest_tag(terms: Column, order: Sequence[str]) -> Column:
+    """The tag of a text that comes first in ``order``; null without one.
+
+    Tags are compared whole, so a tag that is a prefix of another one is safe.
+    """
+    tags = F.transform(terms, lambda term: term["tag"])
+    return F.get(F.filter(F.array(*[F.lit(tag) for tag in order]), lambda tag: F.array_contains(tags, tag)), F.lit(0))
