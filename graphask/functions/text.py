@@ -16,20 +16,33 @@ HAN = r"(\p{IsHan})"
 _FOLD_BLOCK = 64
 
 
+def _beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.char_length(text)
+
+
+def _fold_width(text: Column, variants: tuple[str, str]) -> Column:
+    source, target = variants
+    return F.translate(text, FULL_WIDTH + source, HALF_WIDTH + target)
+
+
 def normalize(text: Column, variants: tuple[str, str] = ("", "")) -> Column:
     """Fold width and case; ``variants`` adds a character map such as traditional -> simplified."""
-    source, target = variants
-    return F.lower(F.translate(text, FULL_WIDTH + source, HALF_WIDTH + target))
+    folded = _fold_width(text, variants)
+    if variants[0].isascii() and variants[0]:
+        return F.lower(folded)
+    return F.lower(F.when(_beyond_ascii(text), folded).otherwise(text))
 
 
 def tokenize(text: Column, variants: tuple[str, str] = ("", "")) -> Column:
     """Words of a text; in unspaced Han script every character is a token of its own.
 
     Multi-character Han words come out of the dictionary and vocabulary match
-    that follows, so both kinds of script share one path.
+    that follows, so both kinds of script share one path. ASCII texts skip the
+    folding of widths and the spacing of Han characters.
     """
-    spaced = F.regexp_replace(normalize(text, variants), HAN, " $1 ")
-    return F.filter(F.split(spaced, SEPARATORS), lambda token: token != "")
+    normal = normalize(text, variants)
+    spaced = F.when(_beyond_ascii(text), F.regexp_replace(normal, HAN, " $1 ")).otherwise(normal)
+    return F.array_remove(F.split(spaced, SEPARATORS), "")
 
 
 def phrase_key(text: Column, variants: tuple[str, str] = ("", "")) -> Column:
@@ -38,29 +51,34 @@ def phrase_key(text: Column, variants: tuple[str, str] = ("", "")) -> Column:
 
 
 def ngrams(tokens: Column, lengths: Sequence[int]) -> Column:
-    """Every run of ``lengths`` consecutive tokens as ``struct(start, len, phrase)``."""
-    blank = F.struct(F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("phrase"))
-    nothing = F.slice(F.array(blank), 1, 0)
+    """Every run of ``lengths`` consecutive tokens: all runs of one length, then of the next."""
+    nothing = F.slice(F.array(F.lit("")), 1, 0)
 
     def of_length(k: int) -> Column:
-        starts = F.sequence(F.lit(0), F.size(tokens) - k)
-        runs = F.transform(
-            starts,
-            lambda start: F.struct(
-                start.alias("start"),
-                F.lit(k).alias("len"),
-                (
-                    F.get(tokens, start)
-                    if k == 1
-                    else F.array_join(F.slice(tokens, start + 1, F.lit(k)), " ")
-                ).alias("phrase"),
-            ),
-        )
+        if k == 1:
+            return tokens
+        starts = F.sequence(F.lit(1), F.size(tokens) - (k - 1))
+        runs = F.transform(starts, lambda start: F.array_join(F.slice(tokens, start, F.lit(k)), " "))
         return F.when(F.size(tokens) >= k, runs).otherwise(nothing)
 
     return F.concat(*[of_length(k) for k in lengths])
 
 
+def ngram_place(position: Column, n_tokens: Column, lengths: Sequence[int]) -> Column:
+    """``struct(start, len)`` of the run at ``position`` of :func:`ngrams`."""
+    place = F.lit(None)
+    offset = F.lit(0)
+    bounds = []
+    for k in lengths:
+        runs = F.greatest(n_tokens - (k - 1), F.lit(0))
+        bounds.append((offset, offset + runs, k))
+        offset = offset + runs
+    for first, last, k in reversed(bounds):
+        here = F.struct((position - first).alias("start"), F.lit(k).alias("len"))
+        place = F.when(position < last, here).otherwise(place)
+    return place
+
+
 def leftmost_longest(hits: Column) -> Column:
     """Non-overlapping hits, leftmost first and longest at each start.
 
@@ -80,41 +98,58 @@ def leftmost_longest(hits: Column) -> Column:
         )
         return F.when(hit["start"] >= state["end"], taken).otherwise(state)
 
-    return F.aggregate(
+    kept = F.aggregate(
         hits,
         F.struct(F.lit(0).alias("end"), none.alias("block"), no_blocks.alias("blocks")),
         step,
         lambda state: F.concat(F.flatten(state["blocks"]), state["block"]),
     )
+    return F.when(F.size(hits) == 1, hits).otherwise(kept)
 
 
-def merge_terms(tokens: Column, spans: Column) -> Column:
-    """Tokens with every span replaced by one term: ``array<struct<pos, word, tag>>``.
+def _end_of(span: Column) -> Column:
+    return F.coalesce(span["start"] + span["len"], F.lit(0))
 
-    Linear in the text: the plain tokens between two spans are sliced out.
-    """
 
-    def plain(first: Column, count: Column) -> Column:
+def _weave(tokens: Column, spans: Column, plain, entity) -> Column:
+    """Plain stretches and spans in text order; linear, the stretches are sliced out."""
+
+    def stretch(first: Column, count: Column) -> Column:
+        return plain(F.slice(tokens, first + 1, count), first)
+
+    def piece(span: Column, i: Column) -> Column:
+        previous_end = _end_of(F.get(spans, i - 1))
+        return F.concat(stretch(previous_end, span["start"] - previous_end), F.array(entity(span)))
+
+    last_end = _end_of(F.element_at(spans, -1))
+    woven = F.concat(
+        F.flatten(F.transform(spans, piece)), stretch(last_end, F.size(tokens) - last_end)
+    )
+    return F.when(F.size(spans) > 0, woven).otherwise(plain(tokens, F.lit(0)))
+
+
+def merge_terms(tokens: Column, spans: Column) -> Column:
+    """Tokens with every span replaced by one term: ``array<struct<pos, word, tag>>``."""
+
+    def plain(words: Column, first: Column) -> Column:
         return F.transform(
-            F.slice(tokens, first + 1, count),
-            lambda token, i: F.struct(
-                (first + i).alias("pos"),
-                token.alias("word"),
-                F.lit(None).cast("string").alias("tag"),
+            words,
+            lambda word, i: F.struct(
+                (first + i).alias("pos"), word.alias("word"), F.lit(None).cast("string").alias("tag")
             ),
         )
 
-    def end_of(span: Column) -> Column:
-        return F.coalesce(span["start"] + span["len"], F.lit(0))
+    def entity(span: Column) -> Column:
+        return F.struct(span["start"].alias("pos"), span["word"].alias("word"), span["tag"].alias("tag"))
+
+    return _weave(tokens, spans, plain, entity)
 
-    def piece(span: Column, i: Column) -> Column:
-        previous_end = end_of(F.get(spans, i - 1))
-        term = F.struct(span["start"].alias("pos"), span["word"].alias("word"), span["tag"].alias("tag"))
-        return F.concat(plain(previous_end, span["start"] - previous_end), F.array(term))
 
-    last_end = F.when(F.size(spans) > 0, end_of(F.element_at(spans, -1))).otherwise(F.lit(0))
-    tail = plain(last_end, F.size(tokens) - last_end)
-    return F.when(F.size(spans) > 0, F.concat(F.flatten(F.transform(spans, piece)), tail)).otherwise(tail)
+def merge_words(tokens: Column, spans: Column) -> Column:
+    """The words of the abstracted text straight from tokens and spans."""
+    return _weave(
+        tokens, spans, lambda words, first: words, lambda span: F.coalesce(span["tag"], span["word"])
+    )
 
 
 def abstract_words(terms: Column) -> Column:
@@ -127,7 +162,7 @@ def abstract_text(terms: Column) -> Column:
 
 
 def mention_map(terms: Column) -> Column:
-    """Tag -> word; the last mention of a tag wins."""
+    """Tag -> word; the last mention of a tag wins. Takes terms or spans."""
     tagged = F.filter(terms, lambda term: term["tag"].isNotNull())
     tags = F.array_distinct(F.transform(tagged, lambda term: term["tag"]))
     last_words = F.transform(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphask.functions import text as tx
-from graphask.operators.tagging import NO_VARIANTS, Lexicon, tag_entities
-from graphask.plans import broadcast_if_bounded, find_hot_keys, salted_join
+from graphask.operators.tagging import NO_VARIANTS, Lexicon, match_spans
+from graphask.plans import broadcast_if_bounded, cut_lineage, find_hot_keys, salted_join
 
 MAX_VOCABULARY = 1 << 18
 
@@ -21,10 +21,9 @@ def vocabulary_words(
     max_words: int = MAX_VOCABULARY,
 ) -> list[str]:
     """The words in index order, on the driver; a vocabulary over ``max_words`` is refused."""
-    size = vocabulary.count()
-    if size > max_words:
-        raise ValueError(f"a vocabulary of {size} words is over the limit of {max_words}")
-    rows = vocabulary.select("idx", tx.normalize(F.col("word"), variants).alias("word")).collect()
+    rows = vocabulary.select("idx", tx.normalize(F.col("word"), variants).alias("word")).limit(max_words + 1).collect()
+    if len(rows) > max_words:
+        raise ValueError(f"the vocabulary is over the limit of {max_words} words")
     return [row["word"] for row in sorted(rows, key=lambda row: row["idx"])]
 
 
@@ -76,13 +75,17 @@ def sample_words(samples: DataFrame, lexicon: Lexicon | None = None) -> DataFram
     weighted = samples.groupBy("label", "sentence").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     if lexicon is None:
         return weighted.withColumn("words", tx.tokenize(F.col("sentence")))
-    tagged = tag_entities(weighted.select("sentence").distinct(), lexicon, key="sentence", text="sentence")
-    words = tagged.select("sentence", tx.abstract_words(F.col("terms")).alias("words"))
+    matched = match_spans(weighted.select("sentence").distinct(), lexicon, key="sentence", text="sentence")
+    words = matched.select("sentence", tx.merge_words(F.col("tokens"), F.col("spans")).alias("words"))
     return weighted.join(words, "sentence").select("label", "sentence", "weight", "words")
 
 
 def labeled_points(samples: DataFrame, words: Sequence[str], lexicon: Lexicon | None = None) -> DataFrame:
-    """``label, sentence, weight, features`` of a training corpus; raises when it is empty."""
-    if samples.isEmpty():
+    """``label, sentence, weight, features`` of a training corpus; raises when it is empty.
+
+    Trainers pass over their input several times, so the vectors are written once.
+    """
+    points = cut_lineage(vectorize(sample_words(samples, lexicon), words).drop("words"))
+    if points.isEmpty():
         raise ValueError("no training samples")
-    return vectorize(sample_words(samples, lexicon), words).drop("words")
+    return points

@@ -83,53 +83,41 @@ def match_candidates(candidates: DataFrame, lexicon: Lexicon, key: str) -> DataF
 
 def find_mentions(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", text: str = "text") -> DataFrame:
     """All dictionary hits, overlaps included: ``key, start, len, word, tag``."""
-    tokens = tx.tokenize(F.col(text), lexicon.variants)
-    candidates = (
-        texts.select(key, tokens.alias("tokens"))
-        .select(key, F.explode(tx.ngrams(F.col("tokens"), lexicon.lengths)).alias("gram"))
-        .select(key, "gram.start", "gram.len", "gram.phrase")
+    tokens = texts.select(key, tx.tokenize(F.col(text), lexicon.variants).alias("tokens"))
+    grams = tx.ngrams(F.col("tokens"), lexicon.lengths)
+    candidates = tokens.select(
+        key, F.size("tokens").alias("n_tokens"), F.posexplode(grams).alias("position", "phrase")
     )
-    return match_candidates(candidates, lexicon, key).select(key, "start", "len", "word", "tag")
+    place = tx.ngram_place(F.col("position"), F.col("n_tokens"), lexicon.lengths)
+    hits = match_candidates(candidates, lexicon, key).withColumn("place", place)
+    return hits.select(key, "place.start", "place.len", "word", "tag")
 
 
-def tag_entities(
-    texts: DataFrame,
-    lexicon: Lexicon,
-    key: str = "question_id",
-    text: str = "text",
-    co_partitioned: bool = False,
-) -> DataFrame:
-    """Add ``terms``: the words of each text in order, dictionary entries tagged.
+def match_spans(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", text: str = "text") -> DataFrame:
+    """Add ``tokens`` and ``spans``, the dictionary hits without overlaps.
 
-    ``key`` is unique per text. The texts are shuffled once by ``key``; the hits
-    are grouped and joined back inside that partitioning. Pass
-    ``co_partitioned`` for tables that are bucketed by ``key``.
+    ``key`` is unique per text. The hits are grouped by ``key`` and joined back
+    to the texts: one shuffle of the texts and one of the hits, and none at all
+    for a table that is bucketed by ``key``.
     """
-    if not co_partitioned:
-        texts = texts.repartition(key)
     hits = find_mentions(texts, lexicon, key, text)
-    spans = hits.groupBy(key).agg(
-        F.sort_array(
-            F.collect_list(F.struct("start", (-F.col("len")).alias("neg_len"), "len", "word", "tag"))
-        ).alias("hits")
-    ).select(key, tx.leftmost_longest(F.col("hits")).alias("spans"))
-    tokens = tx.tokenize(F.col(text), lexicon.variants)
-    joined = texts.join(spans, key, "left").withColumn("tokens", tokens)
-    no_spans = F.slice(
-        F.array(
-            F.struct(
-                F.lit(0).alias("start"),
-                F.lit(0).alias("neg_len"),
-                F.lit(0).alias("len"),
-                F.lit("").alias("word"),
-                F.lit("").alias("tag"),
-            )
-        ),
-        1,
-        0,
+    hit = F.struct("start", (-F.col("len")).alias("neg_len"), "len", "word", "tag")
+    spans = (
+        hits.groupBy(key)
+        .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+        .select(key, tx.leftmost_longest(F.col("hits")).alias("spans"))
     )
-    terms = tx.merge_terms(F.col("tokens"), F.coalesce("spans", no_spans))
-    return joined.withColumn("terms", terms).drop("tokens", "spans")
+    no_spans = F.from_json(F.lit("[]"), spans.schema["spans"].dataType.simpleString())
+    return texts.join(spans, key, "left").withColumns({
+        "tokens": tx.tokenize(F.col(text), lexicon.variants),
+        "spans": F.coalesce("spans", no_spans),
+    })
+
+
+def tag_entities(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", text: str = "text") -> DataFrame:
+    """Add ``terms``: the words of each text in order, dictionary entries tagged."""
+    matched = match_spans(texts, lexicon, key, text)
+    return matched.withColumn("terms", tx.merge_terms(F.col("tokens"), F.col("spans"))).drop("tokens", "spans")
 
 
 def explode_terms(tagged: DataFrame, key: str = "question_id") -> DataFrame:

@@ -16,7 +16,7 @@ from graphask.functions import text as tx
 from graphask.operators.classifiers import TemplateClassifier, fit_naive_bayes
 from graphask.operators.features import labeled_points, vocabulary_words
 from graphask.operators.graph import NAMES_PER_PART, Graph, route
-from graphask.operators.tagging import NO_VARIANTS, Lexicon, tag_entities
+from graphask.operators.tagging import NO_VARIANTS, Lexicon, match_spans
 from graphask.plans.catalog import TemplateCatalog
 from graphask.plans.lineage import cut_lineage
 from graphask.plans.skew import ROWS_PER_TASK, find_hot_keys, salted_join
@@ -35,14 +35,14 @@ class QuestionEngine:
     names_per_part: int = NAMES_PER_PART
     rows_per_task: int = ROWS_PER_TASK
 
-    def analyze(self, questions: DataFrame, co_partitioned: bool = False) -> DataFrame:
+    def analyze(self, questions: DataFrame) -> DataFrame:
         """``question_id, template_id, pattern, slot1, slot2, slot_name, has_slot, well_formed, n_hits,
         max_probability``; columns that are not used further on are not computed."""
-        tagged = tag_entities(questions.select("question_id", "text"), self.lexicon, co_partitioned=co_partitioned)
-        words = tagged.select(
+        matched = match_spans(questions.select("question_id", "text"), self.lexicon)
+        words = matched.select(
             "question_id",
-            tx.abstract_words(F.col("terms")).alias("words"),
-            tx.mention_map(F.col("terms")).alias("mentions"),
+            tx.merge_words(F.col("tokens"), F.col("spans")).alias("words"),
+            tx.mention_map(F.col("spans")).alias("mentions"),
         )
         scored = self.classifier.score(words).withColumnRenamed("prediction", "template_id")
         templates = F.broadcast(self.catalog.to_df(questions.sparkSession))
@@ -85,25 +85,25 @@ class QuestionEngine:
             "status",
         )
 
-    def answer_normalized(self, questions: DataFrame, co_partitioned: bool = False) -> tuple[DataFrame, DataFrame]:
+    def answer_normalized(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Two tables that grow with the questions and with the distinct asks only.
 
         ``question_id, template_id, slot1, slot2, slot_name`` and the answer
         parts per ``template_id, slot_name``. Use these where long lists are
         asked for often; their join is :meth:`answer`.
         """
-        asked, _, answers = self._answer(questions, co_partitioned)
+        asked, _, answers = self._answer(questions)
         return asked, answers
 
-    def _answer(self, questions: DataFrame, co_partitioned: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        analyzed = self.analyze(questions, co_partitioned)
+    def _answer(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        analyzed = self.analyze(questions)
         asked = cut_lineage(analyzed.select("question_id", "template_id", "slot1", "slot2", "slot_name"))
         counts = asked.groupBy(*_ASK).agg(F.count(F.lit(1)).alias("n"))
         return asked, counts, self.answer_asks(counts.select(*_ASK))
 
-    def answer(self, questions: DataFrame, co_partitioned: bool = False) -> DataFrame:
+    def answer(self, questions: DataFrame) -> DataFrame:
         """``question_id, template_id, slot1, slot2, part_no, n_parts, match_count, answer, status``."""
-        asked, counts, answers = self._answer(questions, co_partitioned)
+        asked, counts, answers = self._answer(questions)
         hot = find_hot_keys(counts, _ASK, rows_per_task=self.rows_per_task)
         return salted_join(asked, answers, _ASK, hot, "question_id").select(
             "question_id", "template_id", "slot1", "slot2", "part_no", "n_parts", "match_count", "answer", "status"
