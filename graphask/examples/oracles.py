@@ -238,14 +238,11 @@ _BODIES = {
     "src_vocabulary": "SELECT CAST(p_partkey AS INTEGER) AS idx, p_name AS word FROM part",
     "src_templates": "SELECT CAST(s_suppkey AS INTEGER) AS template_id, 'tsupp ' || s_name AS pattern FROM supplier",
     "src_samples": """
-        SELECT CAST(coalesce(open_label, first_label) AS INTEGER) AS label, sentence FROM (
-          SELECT d.sentence,
-                 last_value(l.doc_id IGNORE NULLS) OVER (PARTITION BY d.lang ORDER BY d.doc_id
-                   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_label,
-                 min(l.doc_id) OVER (PARTITION BY d.lang) AS first_label
-          FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS sentence FROM documents) d
-          LEFT JOIN labels l ON l.doc_id = d.doc_id
-        ) WHERE sentence <> ''""",
+        SELECT CAST(CASE WHEN line <= 5 THEN doc_id ELSE -1 - doc_id END AS INTEGER) AS label, sentence FROM (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS sentence,
+                 unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line
+          FROM documents)
+        WHERE sentence <> ''""",
     "src_nodes": "SELECT node_id, label, name, p1, p2 FROM nodes",
     "src_edges": "SELECT src_id, rel, dst_id FROM edges",
     "src_questions": "SELECT question_id, text FROM questions",

@@ -75,19 +75,17 @@ def src_templates(star: StarSchema) -> DataFrame:
 
 @query
 def src_samples(star: StarSchema) -> DataFrame:
-    """Labelled documents open a section, unlabelled ones go on with the one before."""
-    labelled = star.table("labels").select("doc_id", F.lit(True).alias("labelled"))
-    documents = star.table("documents").join(labelled, "doc_id", "left")
-    header = F.when(
-        F.col("labelled"),
-        F.array(F.concat(F.lit("===== "), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit(" ====="))),
-    ).otherwise(F.slice(F.array(F.lit("")), 1, 0))
-    lines = documents.select(
-        F.col("lang").alias("file"),
-        F.col("doc_id").alias("split"),
-        F.posexplode(F.concat(header, F.split("text", "\n"))).alias("seq", "value"),
+    """Every document as a sectioned file of two sections, read in pieces of four lines."""
+    lines = F.split("text", "\n")
+    first, second = (
+        F.array(F.concat(F.lit("===== "), label.cast("string"), F.lit(" section =====")))
+        for label in (F.col("doc_id"), -1 - F.col("doc_id"))
     )
-    return label_sections(lines)
+    sectioned = F.concat(first, F.slice(lines, 1, 5), second, F.slice(lines, F.lit(6), F.size(lines)))
+    numbered = star.table("documents").select(
+        F.col("doc_id").alias("file"), F.posexplode(sectioned).alias("seq", "value")
+    )
+    return label_sections(numbered.withColumn("split", F.floor(F.col("seq") / 4)))
 
 
 @query
@@ -452,7 +450,7 @@ def _targets(star: StarSchema) -> DataFrame:
 
 @query
 def graph_inbound_neighbors(star: StarSchema) -> DataFrame:
-    return gr.inbound_neighbors(_targets(star), star.graph)
+    return gr.inbound_neighbors(_targets(star), star.graph).drop("dst_id")
 
 
 @query
@@ -466,7 +464,7 @@ def graph_route(star: StarSchema) -> DataFrame:
     asks = star.gold_questions.select(
         F.col("gold_template").alias("template_id"), F.col("gold_name").alias("slot_name")
     ).distinct()
-    return gr.route(asks, star.graph, catalog())
+    return gr.route(asks, star.graph, catalog()).answers
 
 
 # --- answers ---

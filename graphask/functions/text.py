@@ -13,11 +13,20 @@ HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 SEPARATORS = r"[^\p{L}\p{N}#_]+"
 HAN = r"(\p{IsHan})"
+# Every Han character and every full-width form lies here.
+EAST_ASIAN = r"[\x{2E80}-\x{10FFFF}]"
 _FOLD_BLOCK = 64
 
 
-def _beyond_ascii(text: Column) -> Column:
-    return F.octet_length(text) != F.char_length(text)
+def _needs_folding(text: Column, variants: tuple[str, str]) -> Column:
+    """Whether a text can hold wide forms, Han characters or variants; ASCII is settled by its length."""
+    source, _ = variants
+    if any(ord(c) < 0x80 for c in source):
+        return F.lit(True)
+    beyond_ascii = F.octet_length(text) != F.char_length(text)
+    if any(ord(c) < 0x2E80 for c in source):
+        return beyond_ascii
+    return beyond_ascii & text.rlike(EAST_ASIAN)
 
 
 def _fold_width(text: Column, variants: tuple[str, str]) -> Column:
@@ -27,22 +36,18 @@ def _fold_width(text: Column, variants: tuple[str, str]) -> Column:
 
 def normalize(text: Column, variants: tuple[str, str] = ("", "")) -> Column:
     """Fold width and case; ``variants`` adds a character map such as traditional -> simplified."""
-    folded = _fold_width(text, variants)
-    if variants[0].isascii() and variants[0]:
-        return F.lower(folded)
-    return F.lower(F.when(_beyond_ascii(text), folded).otherwise(text))
+    return F.lower(F.when(_needs_folding(text, variants), _fold_width(text, variants)).otherwise(text))
 
 
 def tokenize(text: Column, variants: tuple[str, str] = ("", "")) -> Column:
     """Words of a text; in unspaced Han script every character is a token of its own.
 
     Multi-character Han words come out of the dictionary and vocabulary match
-    that follows, so both kinds of script share one path. ASCII texts skip the
-    folding of widths and the spacing of Han characters.
+    that follows, so both kinds of script share one path.
     """
-    normal = normalize(text, variants)
-    spaced = F.when(_beyond_ascii(text), F.regexp_replace(normal, HAN, " $1 ")).otherwise(normal)
-    return F.array_remove(F.split(spaced, SEPARATORS), "")
+    spaced = F.regexp_replace(_fold_width(text, variants), HAN, " $1 ")
+    plain = F.when(_needs_folding(text, variants), spaced).otherwise(text)
+    return F.array_remove(F.split(F.lower(plain), SEPARATORS), "")
 
 
 def phrase_key(text: Column, variants: tuple[str, str] = ("", "")) -> Column:

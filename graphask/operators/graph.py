@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphask.functions import answers as an
-from graphask.plans import HotKeys, broadcast_if_bounded, cut_lineage, find_hot_keys, salted_join
+from graphask.plans import HotKeys, broadcast_if_bounded, cut_lineage, find_hot_keys, measure, salted_join
 from graphask.plans.catalog import IMAGE, INBOUND, RECORD, TemplateCatalog
 from graphask.plans.skew import ROWS_PER_TASK
 
 NAMES_PER_PART = 50_000
+_ASK = ["template_id", "slot_name"]
 
 
 class Graph:
@@ -89,55 +91,62 @@ def node_record(requests: DataFrame, graph: Graph) -> DataFrame:
     return requests.join(found, keys, "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
 
 
-def inbound_neighbors(requests: DataFrame, graph: Graph) -> DataFrame:
-    """``rel, label, name`` -> one row per edge that ends there: ``rel, label, name, src_id, source_name``.
+def inbound_neighbors(requests: DataFrame, graph: Graph, carry: Sequence[str] = ()) -> DataFrame:
+    """``rel, label, name`` -> one row per edge that ends there.
 
-    Bag semantics: a source with two edges, or with edges to two targets of the
+    Returns ``rel, label, name, *carry, src_id, dst_id, source_name``. Bag
+    semantics: a source with two edges, or with edges to two targets of the
     same name, comes out twice.
     """
-    keys = ["rel", "label", "name"]
+    keys = ["rel", "label", "name", *carry]
     targets = matching_nodes(requests.select(*keys), graph).select(*keys, F.col("node_id").alias("dst_id"))
     edges = graph.edges.select("src_id", "rel", "dst_id")
     reached = salted_join(edges, targets, ["rel", "dst_id"], graph.hot_targets, "src_id")
     names = graph.nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("source_name"))
     return salted_join(reached, names, ["src_id"], graph.hot_sources, "dst_id").select(
-        *keys, "src_id", "source_name"
+        *keys, "src_id", "dst_id", "source_name"
     )
 
 
+class NameLists(NamedTuple):
+    """``lists``: ``*by, part_no, n_parts, n_names, names``; ``long_groups``: ``*by, n_parts`` of
+    the groups in several parts, or ``None`` when every list is one part."""
+
+    lists: DataFrame
+    long_groups: DataFrame | None
+
+
 def name_lists(
     rows: DataFrame,
     by: Sequence[str],
     name: str,
-    spread_by: str,
+    spread_by: Sequence[str],
     names_per_part: int = NAMES_PER_PART,
-) -> DataFrame:
-    """Sorted name lists per group: ``*by, part_no, n_parts, n_names, names``.
+) -> NameLists:
+    """Sorted name lists per group.
 
-    A group over ``names_per_part`` comes out in several parts, so no list grows
-    with the data; the parts together are the whole list. ``n_names`` counts the
-    whole group.
+    A group over ``names_per_part`` comes out in several parts, chosen by a hash
+    of ``spread_by``, so no list grows with the data; the parts together are the
+    whole list. ``n_names`` counts the whole group.
     """
     by = list(by)
-    rows = cut_lineage(rows.select(*by, F.col(name).alias("_name"), F.col(spread_by).alias("_spread")))
+    spread = F.xxhash64(*spread_by)
+    rows = cut_lineage(rows.select(*by, F.col(name).alias("_name"), spread.alias("_spread")))
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     long_groups = counts.where(F.col("n") > names_per_part).select(
         *by,
         F.col("n").alias("n_long"),
         F.ceil(F.col("n") / names_per_part).cast("int").alias("n_parts"),
     )
-    if long_groups.isEmpty():
+    size = measure(long_groups)
+    if size.rows == 0:
         parted = rows.withColumns({"n_long": F.lit(None).cast("long"), "n_parts": F.lit(1)})
     else:
-        long_groups, bounded = broadcast_if_bounded(long_groups)
-        if bounded:
-            parted = rows.join(long_groups, by, "left")
-        else:
-            parted = salted_join(rows, long_groups, by, find_hot_keys(counts, by), "_spread", "left")
-        parted = parted.withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
-    part_no = F.pmod(F.xxhash64("_spread", "_name"), F.col("n_parts")).cast("int")
-    return (
-        parted.withColumn("part_no", part_no)
+        side, bounded = broadcast_if_bounded(long_groups, size=size)
+        hot = None if bounded else find_hot_keys(counts, by)
+        parted = salted_join(rows, side, by, hot, "_spread", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+    lists = (
+        parted.withColumn("part_no", F.pmod("_spread", "n_parts").cast("int"))
         .groupBy(*by, "part_no", "n_parts", "n_long")
         .agg(F.sort_array(F.collect_list("_name")).alias("names"))
         .select(
@@ -148,37 +157,43 @@ def name_lists(
             "names",
         )
     )
+    return NameLists(lists, long_groups.select(*by, "n_parts") if size.rows else None)
 
 
 def neighbor_lists(requests: DataFrame, graph: Graph, names_per_part: int = NAMES_PER_PART) -> DataFrame:
     """The inbound names of each request as sorted lists."""
-    return name_lists(
-        inbound_neighbors(requests, graph), ["rel", "label", "name"], "source_name", "src_id", names_per_part
-    )
+    reached = inbound_neighbors(requests, graph)
+    return name_lists(reached, ["rel", "label", "name"], "source_name", ["src_id", "dst_id"], names_per_part).lists
 
 
 def tips(graph: Graph, label: str, names_per_part: int = NAMES_PER_PART) -> DataFrame:
     """What can be asked about: ``part_no, n_parts, tips``; only part 0 carries the prefix."""
     named = graph.nodes.where(F.col("label") == label).select("label", "name", "node_id")
-    lists = name_lists(named, ["label"], "name", "node_id", names_per_part)
+    lists = name_lists(named, ["label"], "name", ["node_id"], names_per_part).lists
     joined = an.join_names(F.col("names"))
     return lists.select(
         "part_no", "n_parts", F.when(F.col("part_no") == 0, an.tips(F.col("names"))).otherwise(joined).alias("tips")
     )
 
 
-def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_part: int = NAMES_PER_PART) -> DataFrame:
-    """Answer distinct asks ``template_id, slot_name``.
+class Routed(NamedTuple):
+    """``answers``: ``template_id, slot_name, part_no, n_parts, n_names, match_count, raw_answer``;
+    ``long_asks``: ``template_id, slot_name, n_parts`` of the answers in several parts, or ``None``."""
 
-    Returns ``template_id, slot_name, part_no, n_parts, n_names, match_count,
-    raw_answer``; the kind of the template picks the lookup. Property, image
-    and record share one join with the nodes.
+    answers: DataFrame
+    long_asks: DataFrame | None
+
+
+def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_part: int = NAMES_PER_PART) -> Routed:
+    """Answer distinct asks ``template_id, slot_name``; an ask that finds nothing has no row.
+
+    The kind of the template picks the lookup. Property, image and record share
+    one join with the nodes.
     """
     templates = F.broadcast(catalog.to_df(asks.sparkSession))
-    routed = asks.select("template_id", "slot_name").join(templates, "template_id").withColumnRenamed("slot_name", "name")
-    keys = ["template_id", "name"]
+    routed = asks.select("template_id", "slot_name").join(templates, "template_id").withColumn("name", F.col("slot_name"))
 
-    direct = routed.where(F.col("kind") != INBOUND).select(*keys, "kind", "label", "field")
+    direct = routed.where(F.col("kind") != INBOUND).select(*_ASK, "name", "kind", "label", "field")
     value = F.try_element_at("props", "field")
     record = F.lit(None).cast("string")
     for label, clauses in catalog.cards.items():
@@ -190,11 +205,11 @@ def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_par
     )
     looked_up = (
         matching_nodes(direct, graph)
-        .select(*keys, "node_id", raw.alias("raw"))
-        .groupBy(*keys)
+        .select(*_ASK, "node_id", raw.alias("raw"))
+        .groupBy(*_ASK)
         .agg(F.min(F.struct("node_id", "raw")).alias("first"), F.count(F.lit(1)).alias("match_count"))
         .select(
-            *keys,
+            *_ASK,
             F.lit(0).alias("part_no"),
             F.lit(1).alias("n_parts"),
             F.lit(1).cast("long").alias("n_names"),
@@ -203,14 +218,15 @@ def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_par
         )
     )
 
-    inbound = routed.where(F.col("kind") == INBOUND).select(*keys, "rel", "label")
-    lists = neighbor_lists(inbound.select("rel", "label", "name").distinct(), graph, names_per_part)
-    listed = inbound.join(lists, ["rel", "label", "name"]).select(
-        *keys,
+    inbound = routed.where(F.col("kind") == INBOUND).select(*_ASK, "name", "rel", "label")
+    reached = inbound_neighbors(inbound, graph, carry=_ASK)
+    lists, long_asks = name_lists(reached, _ASK, "source_name", ["src_id", "dst_id"], names_per_part)
+    listed = lists.select(
+        *_ASK,
         "part_no",
         "n_parts",
         "n_names",
         F.col("n_names").alias("match_count"),
         an.join_names(F.col("names")).alias("raw_answer"),
     )
-    return looked_up.unionByName(listed).withColumnRenamed("name", "slot_name")
+    return Routed(looked_up.unionByName(listed), long_asks)

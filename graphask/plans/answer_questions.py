@@ -15,7 +15,7 @@ from graphask.functions import answers as an
 from graphask.functions import text as tx
 from graphask.operators.classifiers import TemplateClassifier, fit_naive_bayes
 from graphask.operators.features import labeled_points, vocabulary_words
-from graphask.operators.graph import NAMES_PER_PART, Graph, route
+from graphask.operators.graph import NAMES_PER_PART, Graph, Routed, route
 from graphask.operators.tagging import NO_VARIANTS, Lexicon, match_spans
 from graphask.plans.catalog import TemplateCatalog
 from graphask.plans.lineage import cut_lineage
@@ -63,27 +63,43 @@ class QuestionEngine:
             "max_probability",
         )
 
-    def answer_asks(self, asks: DataFrame) -> DataFrame:
+    def answer_asks(self, asks: DataFrame) -> Routed:
         """Answers of distinct asks ``template_id, slot_name``, one row per answer part.
 
-        An ask without a slot has an empty name.
+        An ask without a slot has an empty name. Asks that find nothing are
+        added by an anti join, so a long answer never meets its ask in one task.
         """
+        asks = asks.select(*_ASK)
         known = F.broadcast(
             self.catalog.to_df(asks.sparkSession).select("template_id", F.lit(True).alias("well_formed"))
         )
-        found = route(asks.where(F.col("slot_name") != ""), self.graph, self.catalog, self.names_per_part)
-        joined = asks.select(*_ASK).join(found, _ASK, "left").join(known, "template_id", "left")
-        status = an.status_of(
-            F.col("raw_answer"), F.col("slot_name") != "", F.coalesce("well_formed", F.lit(False))
+        found, long_asks = route(asks.where(F.col("slot_name") != ""), self.graph, self.catalog, self.names_per_part)
+        found = found.withColumn("well_formed", F.lit(True))
+        nothing = asks.join(found.select(*_ASK).distinct(), _ASK, "left_anti").join(known, "template_id", "left").select(
+            *_ASK,
+            F.lit(0).alias("part_no"),
+            F.lit(1).alias("n_parts"),
+            F.lit(0).cast("long").alias("match_count"),
+            F.lit(None).cast("string").alias("raw_answer"),
+            F.coalesce("well_formed", F.lit(False)).alias("well_formed"),
         )
-        return joined.withColumn("status", status).select(
+        every = found.drop("n_names").unionByName(nothing)
+        status = an.status_of(F.col("raw_answer"), F.col("slot_name") != "", F.col("well_formed"))
+        answers = every.withColumn("status", status).select(
             *_ASK,
-            F.coalesce("part_no", F.lit(0)).alias("part_no"),
-            F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
-            F.coalesce("match_count", F.lit(0)).alias("match_count"),
+            "part_no",
+            "n_parts",
+            "match_count",
             an.answer_text(F.col("raw_answer"), F.col("status")).alias("answer"),
             "status",
         )
+        return Routed(answers, long_asks)
+
+    def _ask(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The analysed questions, materialised, and the count of each distinct ask."""
+        analyzed = self.analyze(questions)
+        asked = cut_lineage(analyzed.select("question_id", "template_id", "slot1", "slot2", "slot_name"))
+        return asked, asked.groupBy(*_ASK).agg(F.count(F.lit(1)).alias("n"))
 
     def answer_normalized(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Two tables that grow with the questions and with the distinct asks only.
@@ -92,20 +108,22 @@ class QuestionEngine:
         parts per ``template_id, slot_name``. Use these where long lists are
         asked for often; their join is :meth:`answer`.
         """
-        asked, _, answers = self._answer(questions)
-        return asked, answers
-
-    def _answer(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        analyzed = self.analyze(questions)
-        asked = cut_lineage(analyzed.select("question_id", "template_id", "slot1", "slot2", "slot_name"))
-        counts = asked.groupBy(*_ASK).agg(F.count(F.lit(1)).alias("n"))
-        return asked, counts, self.answer_asks(counts.select(*_ASK))
+        asked, counts = self._ask(questions)
+        return asked, self.answer_asks(counts).answers
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """``question_id, template_id, slot1, slot2, part_no, n_parts, match_count, answer, status``."""
-        asked, counts, answers = self._answer(questions)
+        asked, counts = self._ask(questions)
+        answers, long_asks = self.answer_asks(counts)
         hot = find_hot_keys(counts, _ASK, rows_per_task=self.rows_per_task)
-        return salted_join(asked, answers, _ASK, hot, "question_id").select(
+        keys = _ASK
+        if long_asks is not None:
+            # One row per question and part, so the parts of one long answer meet their questions in many tasks.
+            numbered = salted_join(asked, long_asks, _ASK, hot, "question_id", "left")
+            last_part = F.coalesce(F.col("n_parts"), F.lit(1)) - 1
+            asked = numbered.withColumn("part_no", F.explode(F.sequence(F.lit(0), last_part))).drop("n_parts")
+            keys = [*_ASK, "part_no"]
+        return salted_join(asked, answers, keys, hot, "question_id").select(
             "question_id", "template_id", "slot1", "slot2", "part_no", "n_parts", "match_count", "answer", "status"
         )
 

@@ -24,6 +24,7 @@ _N_SALTS = "_n_salts"
 class HotKeys(NamedTuple):
     """The at most ``MAX_HOT_KEYS`` most frequent keys with their salt counts."""
 
+    keys: list[str]
     schema: T.StructType
     rows: list[tuple]
 
@@ -50,7 +51,7 @@ def find_hot_keys(
         for row in top.collect()
     ]
     schema = T.StructType([counts.schema[k] for k in keys] + [T.StructField(_N_SALTS, T.IntegerType())])
-    return HotKeys(schema, rows)
+    return HotKeys(list(keys), schema, rows)
 
 
 def salted_join(
@@ -64,7 +65,7 @@ def salted_join(
     """``many`` joined to ``one``, the hot keys of ``many`` spread by a hash of ``spread_by``.
 
     The rows of ``one`` that carry a hot key are repeated once per salt. Without
-    hot keys this is the plain join.
+    hot keys this is the plain join. The hot keys may cover only some of ``keys``.
     """
     keys = list(keys)
     if not hot:
@@ -72,12 +73,12 @@ def salted_join(
     hot_keys = F.broadcast(many.sparkSession.createDataFrame(hot.rows, hot.schema))
     n_salts = F.coalesce(F.col(_N_SALTS), F.lit(1))
     left = (
-        many.join(hot_keys, keys, "left")
+        many.join(hot_keys, hot.keys, "left")
         .withColumn(_SALT, F.pmod(F.xxhash64(spread_by), n_salts).cast("int"))
         .drop(_N_SALTS)
     )
     right = (
-        one.join(hot_keys, keys, "left")
+        one.join(hot_keys, hot.keys, "left")
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), n_salts - 1)))
         .drop(_N_SALTS)
     )

@@ -82,6 +82,23 @@ def test_hot_asks_are_spread(spark, engine, questions, answers):
         assert row["answer"] == answers[source]["answer"]
 
 
+def test_long_answers_come_in_parts(spark, engine, questions, answers):
+    """Lists of two names in parts of one name, with hot asks: every part reaches every question."""
+    split = QuestionEngine(
+        engine.graph, engine.catalog, engine.lexicon, engine.classifier, names_per_part=1, rows_per_task=1
+    )
+    rows = split.answer(questions).collect()
+    names = {}
+    for row in rows:
+        names.setdefault(row["question_id"], []).append(row["answer"])
+    assert set(names) == set(answers)
+    for question_id, row in answers.items():
+        if row["status"] == "ok" and 18 <= row["template_id"] <= 24:
+            assert sorted("、".join(names[question_id]).split("、")) == row["answer"].split("、")
+        else:
+            assert names[question_id] == [row["answer"]]
+
+
 def test_normalized_tables_join_to_the_answers(engine, questions, answers):
     asked, parts = engine.answer_normalized(questions)
     assert asked.count() == questions.count()

@@ -35,7 +35,7 @@ def graph(spark, request):
 @pytest.fixture(scope="module")
 def routed(spark, graph):
     asks = [(t, name) for t, (name, _) in EXPECTED.items()] + [(0, "鲤鱼"), (2, "鲤鱼"), (25, "鲤鱼"), (23, "水库"), (0, "无")]
-    df = route(spark.createDataFrame(asks, "template_id int, slot_name string"), graph, aquaculture_catalog())
+    df = route(spark.createDataFrame(asks, "template_id int, slot_name string"), graph, aquaculture_catalog()).answers
     return {(r["template_id"], r["slot_name"]): r for r in df.collect()}
 
 
@@ -87,8 +87,8 @@ def test_long_lists_come_in_parts(spark):
 
 def test_many_long_groups_take_the_shuffle_path(spark, monkeypatch):
     rows = spark.range(400).select((F.col("id") % 4).alias("g"), F.col("id").cast("string").alias("name"), "id")
-    monkeypatch.setattr(gr, "broadcast_if_bounded", lambda df: (df, False))
-    lists = name_lists(rows, ["g"], "name", "id", names_per_part=30).collect()
+    monkeypatch.setattr(gr, "broadcast_if_bounded", lambda df, size: (df, False))
+    lists = name_lists(rows, ["g"], "name", ["id"], names_per_part=30).lists.collect()
     assert sorted(int(n) for r in lists for n in r["names"]) == list(range(400))
     assert {r["n_parts"] for r in lists} == {4}
 
