@@ -336,10 +336,11 @@ _BODIES = {
         SELECT rel, label, name, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS n_parts, n_names, names
         FROM ({_LISTS.replace('<sep>', ',')})""",
     "graph_route": """
-        SELECT l.template_id, l.slot_name, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS n_parts,
-               CASE WHEN l.template_id = 2 THEN l.match_count ELSE 1 END AS n_names, l.match_count, l.raw_answer
+        SELECT q.gold_template AS template_id, q.gold_name AS slot_name,
+               CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS n_parts,
+               coalesce(l.match_count, 0) AS match_count, l.raw_answer, CAST(1 AS INTEGER) AS well_formed
         FROM (SELECT DISTINCT gold_template, gold_name FROM questions) q
-        JOIN lookups l ON l.template_id = q.gold_template AND l.slot_name = q.gold_name""",
+        LEFT JOIN lookups l ON l.template_id = q.gold_template AND l.slot_name = q.gold_name""",
     "ans_join_names": f"""
         SELECT t.rel, t.name, CASE WHEN l.names IS NOT NULL THEN CAST(0 AS INTEGER) END AS part_no, l.names AS answer
         FROM targets t LEFT JOIN ({_LISTS.replace('<sep>', NAME_SEPARATOR)}) l

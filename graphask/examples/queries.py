@@ -464,7 +464,8 @@ def graph_route(star: StarSchema) -> DataFrame:
     asks = star.gold_questions.select(
         F.col("gold_template").alias("template_id"), F.col("gold_name").alias("slot_name")
     ).distinct()
-    return gr.route(asks, star.graph, catalog()).answers
+    answers = gr.route(asks, star.graph, catalog()).answers
+    return answers.withColumn("well_formed", F.col("well_formed").cast("int"))
 
 
 # --- answers ---
@@ -473,11 +474,11 @@ def graph_route(star: StarSchema) -> DataFrame:
 @query
 def ans_join_names(star: StarSchema) -> DataFrame:
     """The sources of every target; a target without edges has no answer."""
+    keys = ["rel", "label", "name"]
     targets = _targets(star)
-    lists = gr.neighbor_lists(targets, star.graph).select(
-        "rel", "label", "name", "part_no", an.join_names(F.col("names")).alias("answer")
-    )
-    return targets.join(lists, ["rel", "label", "name"], "left").select("rel", "name", "part_no", "answer")
+    lists = gr.neighbor_lists(targets, star.graph).select(*keys, "part_no", an.join_names(F.col("names")).alias("answer"))
+    without = targets.join(lists.select(*keys).distinct(), keys, "left_anti")
+    return lists.unionByName(without, allowMissingColumns=True).select("rel", "name", "part_no", "answer")
 
 
 @query

@@ -177,7 +177,7 @@ def tips(graph: Graph, label: str, names_per_part: int = NAMES_PER_PART) -> Data
 
 
 class Routed(NamedTuple):
-    """``answers``: ``template_id, slot_name, part_no, n_parts, n_names, match_count, raw_answer``;
+    """``answers``: ``template_id, slot_name, part_no, n_parts, match_count, raw_answer, well_formed``;
     ``long_asks``: ``template_id, slot_name, n_parts`` of the answers in several parts, or ``None``."""
 
     answers: DataFrame
@@ -185,13 +185,16 @@ class Routed(NamedTuple):
 
 
 def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_part: int = NAMES_PER_PART) -> Routed:
-    """Answer distinct asks ``template_id, slot_name``; an ask that finds nothing has no row.
+    """Answer distinct asks ``template_id, slot_name``; what is not found has a null ``raw_answer``.
 
     The kind of the template picks the lookup. Property, image and record share
-    one join with the nodes.
+    one join with the nodes. An empty name stands for a missing slot; a template
+    outside the catalog is not well formed.
     """
     templates = F.broadcast(catalog.to_df(asks.sparkSession))
-    routed = asks.select("template_id", "slot_name").join(templates, "template_id").withColumn("name", F.col("slot_name"))
+    routed = asks.select("template_id", "slot_name").join(templates, "template_id", "left").withColumn(
+        "name", F.nullif("slot_name", F.lit(""))
+    )
 
     direct = routed.where(F.col("kind") != INBOUND).select(*_ASK, "name", "kind", "label", "field")
     value = F.try_element_at("props", "field")
@@ -208,15 +211,10 @@ def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_par
         .select(*_ASK, "node_id", raw.alias("raw"))
         .groupBy(*_ASK)
         .agg(F.min(F.struct("node_id", "raw")).alias("first"), F.count(F.lit(1)).alias("match_count"))
-        .select(
-            *_ASK,
-            F.lit(0).alias("part_no"),
-            F.lit(1).alias("n_parts"),
-            F.lit(1).cast("long").alias("n_names"),
-            "match_count",
-            F.col("first.raw").alias("raw_answer"),
-        )
+        .select(*_ASK, "match_count", F.col("first.raw").alias("raw_answer"))
     )
+    plain = routed.where(F.col("kind").isNull() | (F.col("kind") != INBOUND))
+    answered = plain.select(*_ASK, F.col("kind").isNotNull().alias("well_formed")).join(looked_up, _ASK, "left")
 
     inbound = routed.where(F.col("kind") == INBOUND).select(*_ASK, "name", "rel", "label")
     reached = inbound_neighbors(inbound, graph, carry=_ASK)
@@ -225,8 +223,20 @@ def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_par
         *_ASK,
         "part_no",
         "n_parts",
-        "n_names",
         F.col("n_names").alias("match_count"),
         an.join_names(F.col("names")).alias("raw_answer"),
+        F.lit(True).alias("well_formed"),
+    )
+    # An anti join on the keys alone: the parts of a long list never meet their ask in one task.
+    unlisted = inbound.select(*_ASK, F.lit(True).alias("well_formed")).join(
+        lists.select(*_ASK).distinct(), _ASK, "left_anti"
+    )
+    single = answered.unionByName(unlisted, allowMissingColumns=True).select(
+        *_ASK,
+        F.lit(0).alias("part_no"),
+        F.lit(1).alias("n_parts"),
+        F.coalesce("match_count", F.lit(0)).alias("match_count"),
+        "raw_answer",
+        "well_formed",
     )
-    return Routed(looked_up.unionByName(listed), long_asks)
+    return Routed(single.unionByName(listed), long_asks)

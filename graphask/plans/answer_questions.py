@@ -66,26 +66,11 @@ class QuestionEngine:
     def answer_asks(self, asks: DataFrame) -> Routed:
         """Answers of distinct asks ``template_id, slot_name``, one row per answer part.
 
-        An ask without a slot has an empty name. Asks that find nothing are
-        added by an anti join, so a long answer never meets its ask in one task.
+        An ask without a slot has an empty name.
         """
-        asks = asks.select(*_ASK)
-        known = F.broadcast(
-            self.catalog.to_df(asks.sparkSession).select("template_id", F.lit(True).alias("well_formed"))
-        )
-        found, long_asks = route(asks.where(F.col("slot_name") != ""), self.graph, self.catalog, self.names_per_part)
-        found = found.withColumn("well_formed", F.lit(True))
-        nothing = asks.join(found.select(*_ASK).distinct(), _ASK, "left_anti").join(known, "template_id", "left").select(
-            *_ASK,
-            F.lit(0).alias("part_no"),
-            F.lit(1).alias("n_parts"),
-            F.lit(0).cast("long").alias("match_count"),
-            F.lit(None).cast("string").alias("raw_answer"),
-            F.coalesce("well_formed", F.lit(False)).alias("well_formed"),
-        )
-        every = found.drop("n_names").unionByName(nothing)
+        routed, long_asks = route(asks, self.graph, self.catalog, self.names_per_part)
         status = an.status_of(F.col("raw_answer"), F.col("slot_name") != "", F.col("well_formed"))
-        answers = every.withColumn("status", status).select(
+        answers = routed.withColumn("status", status).select(
             *_ASK,
             "part_no",
             "n_parts",

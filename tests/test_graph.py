@@ -34,7 +34,7 @@ def graph(spark, request):
 
 @pytest.fixture(scope="module")
 def routed(spark, graph):
-    asks = [(t, name) for t, (name, _) in EXPECTED.items()] + [(0, "鲤鱼"), (2, "鲤鱼"), (25, "鲤鱼"), (23, "水库"), (0, "无")]
+    asks = [(t, name) for t, (name, _) in EXPECTED.items()] + [(0, "鲤鱼"), (2, "鲤鱼"), (25, "鲤鱼"), (23, "水库"), (0, "无"), (0, ""), (77, "草鱼")]
     df = route(spark.createDataFrame(asks, "template_id int, slot_name string"), graph, aquaculture_catalog()).answers
     return {(r["template_id"], r["slot_name"]): r for r in df.collect()}
 
@@ -49,8 +49,10 @@ def test_missing_values(routed):
     assert routed[0, "鲤鱼"]["raw_answer"] == "\\N"
     assert routed[2, "鲤鱼"]["raw_answer"] is None
     assert routed[25, "鲤鱼"]["raw_answer"] == "鲤鱼别名'\\N'。它的特征是'有须'。"
-    assert (23, "水库") not in routed
-    assert (0, "无") not in routed
+    for ask in ((23, "水库"), (0, "无"), (0, "")):
+        assert (routed[ask]["raw_answer"], routed[ask]["match_count"]) == (None, 0)
+        assert routed[ask]["well_formed"]
+    assert not routed[77, "草鱼"]["well_formed"]
 
 
 def test_duplicate_name_answers_once(routed):
