@@ -51,7 +51,7 @@ def dictionary_conflicts(dictionary: DataFrame) -> DataFrame:
 
 def add_words(dictionary: DataFrame, additions: DataFrame) -> DataFrame:
     """Add entries whose word is absent; present words stay as they are."""
-    absent = resolve_conflicts(additions).join(dictionary.select("word"), "word", "left_anti")
+    absent = resolve_conflicts(additions).join(dictionary.select("word").distinct(), "word", "left_anti")
     return dictionary.unionByName(absent.select(*dictionary.columns))
 
 

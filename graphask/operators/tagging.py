@@ -109,7 +109,7 @@ def match_spans(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", te
     )
     no_spans = F.from_json(F.lit("[]"), spans.schema["spans"].dataType.simpleString())
     return texts.join(spans, key, "left").withColumns({
-        "tokens": tx.tokenize(F.col(text), lexicon.variants),
+        "tokens": tx.tokenize(F.coalesce(F.col(text), F.lit("")), lexicon.variants),
         "spans": F.coalesce("spans", no_spans),
     })
 
