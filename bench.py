@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from graphask.examples import queries as q  # noqa: E402
 from graphask.examples.star_schema import StarSchema  # noqa: E402
+from graphask.plans.lineage import use_local_scratch  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -52,6 +53,7 @@ def session() -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_scratch(spark)
     return spark
 
 

@@ -1,7 +1,7 @@
 """Physical-plan helpers: checked broadcasts, salted joins, lineage cuts."""
 
 from graphask.plans.broadcast import broadcast_if_bounded, measure
-from graphask.plans.lineage import cut_lineage, scratch_dir
+from graphask.plans.lineage import cut_lineage, scratch_dir, stored, use_local_scratch
 from graphask.plans.skew import HotKeys, find_hot_keys, salted_join
 
 __all__ = [
@@ -12,4 +12,6 @@ __all__ = [
     "measure",
     "salted_join",
     "scratch_dir",
+    "stored",
+    "use_local_scratch",
 ]

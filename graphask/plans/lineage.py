@@ -4,49 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
+SETTING = "spark.checkpoint.dir"
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def _shared_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get(_SETTING, None)
-
-
-def _ensure_checkpoint_dir(spark: SparkSession) -> bool:
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return True
-    shared = _shared_dir(spark)
+        return
+    shared = spark.conf.get(SETTING, None)
     if shared is None:
-        if not _is_local(spark):
-            return False
-        shared = tempfile.mkdtemp(prefix="graphask-checkpoint-")
+        raise RuntimeError(f"set {SETTING} to a folder every executor can reach")
     context.setCheckpointDir(shared)
-    return True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder named by the session.
+def use_local_scratch(spark: SparkSession) -> None:
+    """Give a single-machine session without ``spark.checkpoint.dir`` a temporary folder.
 
-    On a cluster without such a folder the table is returned as it is: results
-    stay the same, the plan above it is only evaluated more than once.
+    For tests, benchmarks and the entry module; on a cluster this does nothing, and
+    whatever needs the folder raises.
     """
-    if not _ensure_checkpoint_dir(df.sparkSession):
-        warnings.warn(f"{_SETTING} is not set; the plan is recomputed instead of checkpointed", stacklevel=2)
-        return df
+    context = spark.sparkContext
+    one_machine = context.master == "local" or context.master.startswith("local[")
+    if one_machine and context.getCheckpointDir() is None and spark.conf.get(SETTING, None) is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphask-checkpoint-"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder named by the session."""
+    _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
-    if not _ensure_checkpoint_dir(spark):
-        raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
-    base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
