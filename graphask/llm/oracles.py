@@ -15,10 +15,9 @@ def _label_model_sql() -> str:
 
     k = qr.PSEUDO_COUNT
     rates = [(name, kind) for name in _NAMES for kind in qr.START]
-    odds = qr.odds_sql(lambda name, kind: f"{name}_{kind}", "prior")
+    odds = qr.odds_sql(lambda name, kind: f"{name}_{kind}", f"{qr.PRIOR_GOOD}::DOUBLE")
     start = ", ".join(f"{qr.START[kind]}::DOUBLE AS {name}_{kind}" for name, kind in rates)
     sums = qr.vote_sums_sql()
-    prior = bounded(f"({sums['good']} + {k * qr.PRIOR_GOOD}) / (sum(n) + {k})", 0.5, 0.99)
     step = ", ".join(
         bounded(
             f"({sums[f'{name}_{kind}']} + {k * qr.START[kind]}) / ({sums['good' if kind.endswith('good') else 'bad']} + {k})",
@@ -48,9 +47,9 @@ counted AS (SELECT * EXCLUDE (chars), coalesce(chars, 0) AS word_chars FROM sign
 voted AS (SELECT *, {votes} FROM counted),
 patterns AS (SELECT {", ".join(_NAMES)}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL),
 model AS (
-  SELECT 0 AS round, {qr.PRIOR_GOOD}::DOUBLE AS prior, {start}
+  SELECT 0 AS round, {start}
   UNION ALL
-  SELECT round + 1, {prior}, {step}
+  SELECT round + 1, {step}
   FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS q FROM model, patterns WHERE round < {qr.ROUNDS}) GROUP BY round),
 rated AS (SELECT voted.*, 1 / (1 + exp(-({odds}))) AS posterior FROM voted, model WHERE round = {qr.ROUNDS})"""
 

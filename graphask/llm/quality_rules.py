@@ -18,12 +18,13 @@ from graphask.llm.columns import SPACE, count_of, whole, words
 from graphask.plans.lineage import stored
 
 ROUNDS = 12
-#: Share of good documents before the first round, and how often a rule votes against or for a good or a bad one.
+#: Share of good documents, which stays fixed (texts on which no rule votes would otherwise draw it to any value),
+#: and, before the first round, how often a rule votes against or for a good or a bad one.
 PRIOR_GOOD = 0.85
 START = {"against_good": 0.01, "against_bad": 0.3, "for_good": 0.9, "for_bad": 0.6}
 PSEUDO_COUNT = 1.0
 #: What makes the two classes mean quality: rules vote against few good documents and against some of the bad ones.
-BOUNDS = {"against_good": (0.001, 0.02), "against_bad": (0.1, 0.999), "for_good": (0.5, 0.999), "for_bad": (0.1, 0.999)}
+BOUNDS = {"against_good": (0.001, 0.01), "against_bad": (0.04, 0.999), "for_good": (0.8, 0.999), "for_bad": (0.8, 0.999)}
 WINDOW = 5
 _SYMBOLS = "#*$%&|<>"
 
@@ -125,18 +126,17 @@ def vote_sums_sql() -> dict[str, str]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents and, by rule, how often it votes against or for good and bad ones."""
+    """By rule, how often it votes against or for good and bad ones."""
 
-    prior: float
     rates: Mapping[str, Mapping[str, float]]
 
     @classmethod
     def start(cls) -> LabelModel:
-        return cls(PRIOR_GOOD, {name: START for name, *_ in RULES})
+        return cls({name: START for name, *_ in RULES})
 
     def posterior(self) -> Column:
         """Probability that a document with the votes in columns named after the rules is good."""
-        odds = odds_sql(lambda name, rate: f"{self.rates[name][rate]!r}D", f"{self.prior!r}D")
+        odds = odds_sql(lambda name, rate: f"{self.rates[name][rate]!r}D", f"{PRIOR_GOOD}D")
         return F.expr(f"1 / (1 + exp(-({odds})))")
 
 
@@ -157,10 +157,7 @@ def fit_label_model(patterns: DataFrame, rounds: int = ROUNDS) -> LabelModel:
             smoothed = (found[f"{name}_{kind}"] + PSEUDO_COUNT * START[kind]) / (total + PSEUDO_COUNT)
             return min(max(smoothed, least), most)
 
-        share = (found["good"] + PSEUDO_COUNT * PRIOR_GOOD) / (found["good"] + found["bad"] + PSEUDO_COUNT)
-        model = LabelModel(
-            min(max(share, 0.5), 0.99), {name: {kind: rate(name, kind) for kind in START} for name, *_ in RULES}
-        )
+        model = LabelModel({name: {kind: rate(name, kind) for kind in START} for name, *_ in RULES})
     return model
 
 
