@@ -10,6 +10,7 @@ from graphask.llm import sharding
 from graphask.llm.columns import table
 from graphask.llm.oracles import ORACLES as ORACLES
 from graphask.llm.quality_rules import quality_digest
+from graphask.llm.simhash import simhash_digest
 from graphask.llm.soft_mixing import mixing_rates
 
 #: Token shares of the mixture by language.
@@ -20,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing_rates(docs, labelled_languages(spark, sf_dir), MIX_TARGETS)
@@ -37,6 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash": op2_simhash,
     "op8_soft_mixing": op8_soft_mixing,
     "op10_sharding": op10_sharding,
 }
