@@ -61,6 +61,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM rated)
 """
 
+#: All 50-byte strings as hexadecimal digits; the first document of each decides.
+OP5 = """
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT k, doc_id, i, substr(h, 2 * i + 1, 100) AS s
+            FROM (SELECT k, doc_id, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS i FROM texts)),
+firsts AS (SELECT md5(s) AS m, min(doc_id) AS first FROM strings GROUP BY ALL HAVING count(*) > 1),
+copied AS (SELECT k, i FROM strings JOIN firsts ON md5(s) = m WHERE first < doc_id OR (doc_id IS NULL AND first IS NOT NULL)),
+marked AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM copied),
+numbered AS (SELECT k, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END)
+                          OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+spans AS (SELECT k, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY k, span),
+cuts AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS from_here,
+                lead(a) OVER (PARTITION BY k ORDER BY a) AS next FROM spans),
+pieces AS (SELECT k, count(*) AS n_spans, sum(b - a) AS n_removed,
+                  string_agg(substr(h, 2 * from_here + 1, 2 * (a - from_here))
+                             || CASE WHEN next IS NULL THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+           FROM cuts JOIN texts USING (k) GROUP BY k)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM texts LEFT JOIN pieces USING (k)
+"""
+
 #: The checksum is computed bit by bit for each of the 256 table entries, then byte by byte.
 OP10 = """
 WITH entries AS (
@@ -87,4 +109,4 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM cut
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op10_sharding": OP10}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_dedup": OP5, "op10_sharding": OP10}

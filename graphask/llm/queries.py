@@ -12,6 +12,7 @@ from graphask.llm.oracles import ORACLES as ORACLES
 from graphask.llm.quality_rules import quality_digest
 from graphask.llm.simhash import simhash_digest
 from graphask.llm.soft_mixing import mixing_rates
+from graphask.llm.suffix_dedup import repeat_digest
 
 #: Token shares of the mixture by language.
 MIX_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
@@ -25,6 +26,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing_rates(docs, labelled_languages(spark, sf_dir), MIX_TARGETS)
@@ -43,6 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_soft_mixing": op8_soft_mixing,
     "op10_sharding": op10_sharding,
 }
