@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from graphask.llm import sharding
 from graphask.llm.columns import table
 from graphask.llm.oracles import ORACLES as ORACLES
+from graphask.llm.ordinal_quality import quality_grades
 from graphask.llm.quality_rules import quality_digest
 from graphask.llm.simhash import simhash_digest
 from graphask.llm.soft_mixing import mixing_rates
 from graphask.llm.suffix_dedup import repeat_digest
+from graphask.llm.toxicity_fm import toxicity_digest
 
 #: Token shares of the mixture by language.
 MIX_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
@@ -26,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS domain").join(rated, "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +58,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
+    "op4_ordinal_quality": op4_ordinal_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_soft_mixing": op8_soft_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
