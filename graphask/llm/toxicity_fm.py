@@ -33,13 +33,15 @@ LABELLED_ROWS = 20_000
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
 FACTORS = 8
-#: Terms with a weight: the most telling ones, whose share of toxic documents differs by this factor at least.
+#: Terms with a weight: the most telling ones, in this many documents at least, whose share of toxic ones differs by a factor.
 TERMS = 4_096
-LEAST_LIFT = 1.5
-LEAST_CHI_SQUARE = 10.8
-STEPS = 400
-RATE = 0.05
-L2_WEIGHT, L2_FACTOR = 1e-5, 1e-4
+LEAST_DOCUMENTS = 8
+LEAST_LIFT = 2.0
+LEAST_CHI_SQUARE = 25.0
+SHRINK = 10.0
+STEPS = 300
+RATE = 0.02
+L2_WEIGHT, L2_FACTOR = 1e-6, 1e-4
 
 
 @dataclass(frozen=True)
@@ -80,11 +82,15 @@ class FactorizationMachine:
         spread = np.maximum(have * base * (1 - base) * (1 - have / max(n, 1)), 1e-9)
         chi_square = (toxic - have * base) ** 2 / spread
         lift = np.maximum(share / max(base, 1e-9), (1 - share) / max(1 - base, 1e-9))
-        telling = np.flatnonzero((chi_square >= LEAST_CHI_SQUARE) & (lift >= LEAST_LIFT))
+        often = have >= LEAST_DOCUMENTS
+        telling = np.flatnonzero(often & (chi_square >= LEAST_CHI_SQUARE) & (lift >= LEAST_LIFT))
         telling = np.sort(telling[np.argsort(-chi_square[telling], kind="stable")[:TERMS]])
-        start = np.random.default_rng(0).normal(0, 0.05, (len(telling), FACTORS))
+        start = np.random.default_rng(0).normal(0, 0.02, (len(telling), FACTORS))
         bias = np.array([np.log((positive + 0.5) / (n - positive + 0.5))])
-        model = cls(ids[telling], float(bias[0]), np.zeros(len(telling)), start)
+        # Weights start at shrunken log odds: loss alone stops short on terms that always come with other telling ones.
+        seen, bad = have[telling] + SHRINK, toxic[telling] + SHRINK * base
+        weights = np.log(bad / np.maximum(seen - bad, 1e-9)) - bias[0]
+        model = cls(ids[telling], float(bias[0]), weights, start)
         doc, at = model._known(doc, term)
         if not len(at):
             return model
