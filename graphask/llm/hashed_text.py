@@ -40,8 +40,10 @@ def _counted(doc: np.ndarray, term: np.ndarray, buckets: int) -> Terms:
 
 
 def bare(words: Words) -> Words:
-    """The words in lower case (A-Z) without marks at their ends; words of marks only are left out."""
+    """The words in lower case (A-Z and the accented Latin-1 letters) without marks at their ends; others are left out."""
     data = _LOWER[words.data]
+    accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    data[accented] += 32
     start, end = words.start.copy(), words.end.copy()
     for _ in range(8):
         start += (start < end) & _PUNCTUATION[data[np.minimum(start, len(data) - 1)]]

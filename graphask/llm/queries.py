@@ -6,20 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from graphask.llm import sharding
 from graphask.llm.columns import table
+from graphask.llm.decontaminate import leak_digest
+from graphask.llm.license_scan import scan_licenses
+from graphask.llm.masked_lm import score_documents
 from graphask.llm.oracles import ORACLES as ORACLES
 from graphask.llm.ordinal_quality import quality_grades
 from graphask.llm.quality_rules import quality_digest
 from graphask.llm.simhash import simhash_digest
-from graphask.llm.soft_mixing import mixing_rates
+from graphask.llm.soft_mixing import MIX_TARGETS, labelled_languages, mixing_rates
 from graphask.llm.suffix_dedup import repeat_digest
 from graphask.llm.toxicity_fm import toxicity_digest
 
-#: Token shares of the mixture by language.
-MIX_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
-
-
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"))
 
@@ -28,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,15 +40,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
-def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing_rates(docs, labelled_languages(spark, sf_dir), MIX_TARGETS)
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
 
 
-def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of the documents that the table of labels covers."""
-    rated = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS domain").join(rated, "doc_id")
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_rates(docs, labelled_languages(docs, table(spark, sf_dir, "labels")), MIX_TARGETS)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +64,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
+    "op3_decontamination": op3_decontamination,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_masked_lm": op7_masked_lm,
     "op8_soft_mixing": op8_soft_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }

@@ -25,6 +25,8 @@ BUCKETS = 2_048
 #: Known words that count in full; more of them are scaled down to this many, so that posteriors stay soft.
 EVIDENCE_WORDS = 8
 ROUNDS = 40
+#: Token shares of the mixture by language.
+MIX_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 TOLERANCE = 1e-9
 
 
@@ -65,6 +67,11 @@ class DomainModel:
         return [math.log(p) + scale * evidence(w) for p, w in zip(self.prior, self.weights, strict=True)]
 
 
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, domain``: the languages of the documents that a table of labels covers."""
+    return docs.selectExpr("doc_id", "lang AS domain").join(labels.select("doc_id").distinct(), "doc_id")
+
+
 def fit_domains(
     docs: DataFrame, labelled: DataFrame, domains: Sequence[str], rows: int = LABELLED_ROWS, vocabulary: int = VOCABULARY
 ) -> DomainModel:
@@ -105,19 +112,19 @@ def fit_domains(
     return DomainModel(tuple(domains), tuple(r["term"] for r in top), tuple(prior), tuple(map(tuple, weights)))
 
 
-def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """``doc_id, n_tokens`` and the domain posteriors ``p0, p1, ...``; a missing text has no tokens."""
-    found = docs.select("doc_id", _terms(whole()).alias("terms")).select(
-        "doc_id", F.size("terms").cast("long").alias("n_tokens"), model.known(F.col("terms")).alias("known")
+def memberships(docs: DataFrame, model: DomainModel, column: str = "doc_id") -> DataFrame:
+    """``column``, ``n_tokens`` and the domain posteriors ``p0, p1, ...``; a missing text has no tokens."""
+    found = docs.select(column, _terms(whole()).alias("terms")).select(
+        column, F.size("terms").cast("long").alias("n_tokens"), model.known(F.col("terms")).alias("known")
     )
     scores = [f"s{i}" for i in range(len(model.domains))]
     scored = found.select(
-        "doc_id", "n_tokens", *[c.alias(name) for c, name in zip(model.log_scores("known"), scores, strict=True)]
+        column, "n_tokens", *[c.alias(name) for c, name in zip(model.log_scores("known"), scores, strict=True)]
     )
     top = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
-    shifted = scored.select("doc_id", "n_tokens", *[F.exp(F.col(s) - top).alias(s) for s in scores])
+    shifted = scored.select(column, "n_tokens", *[F.exp(F.col(s) - top).alias(s) for s in scores])
     total = sum((F.col(s) for s in scores[1:]), F.col(scores[0]))
-    return shifted.select("doc_id", "n_tokens", *[(F.col(s) / total).alias(f"p{s[1:]}") for s in scores])
+    return shifted.select(column, "n_tokens", *[(F.col(s) / total).alias(f"p{s[1:]}") for s in scores])
 
 
 def _rate(price: Sequence[float]) -> Column:
@@ -131,7 +138,7 @@ def fit_rates(members: DataFrame, targets: Sequence[float], rounds: int = ROUNDS
     gradient is a combination of its posteriors, so the steps add up to one number per
     domain, ``rate = max(0, 1 + sum(step * posterior))``, and a round is one aggregate
     over all documents. A domain's step is scaled by its tokens, a bound of the
-    curvature. Targets are shares of all tokens; where they cannot be met the rounds end
+    curvature. Targets are multiples of all tokens; where they cannot be met the rounds end
     with the remaining error.
     """
     domains = range(len(targets))
@@ -166,7 +173,28 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
     return members.select("doc_id", "n_tokens", *named, _rate(price).alias("rate"))
 
 
-def copies(rate: Column, doc_id: str = "doc_id") -> Column:
+def copies(rate: Column, doc_id: Column) -> Column:
     """Whole copies for a rate: rounded up or down by a hash of the id, right on average."""
-    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(doc_id)), F.lit(1 << 20)) / float(1 << 20)
-    return F.floor(rate + chance).cast("int")
+    chance = F.pmod(F.xxhash64(F.lit("mix"), doc_id), F.lit(1 << 20)) / float(1 << 20)
+    return F.floor(rate + chance + 1e-6).cast("int")
+
+
+def mixed_without_loss(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float]) -> DataFrame:
+    """The documents, with all their columns, each as often as its rate asks for and once at least.
+
+    The mixture is as long as it must be for the domain that is furthest above its
+    target to stay whole, so rates are one or more and no document is lost; rates are
+    rounded to whole copies by a hash of the id.
+    """
+    total = sum(targets.values())
+    shares = [value / total for value in targets.values()]
+    model = fit_domains(docs, labelled, list(targets))
+    members = stored(memberships(docs, model), "mix-members")
+    tokens = members.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"n{i}") for i in range(len(shares))]).first()
+    longer = max([1.0, *(tokens[f"n{i}"] / tokens["n"] / s for i, s in enumerate(shares))]) if tokens["n"] else 1.0
+    price = fit_rates(members, [s * longer for s in shares])
+    # The rows travel as one column, so no name of theirs can clash with those added.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rated = memberships(packed, model, "row")
+    times = F.greatest(copies(_rate(price), F.col("row")["doc_id"]), F.lit(1))
+    return rated.select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("row.*")
