@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from graphask.llm.textbytes import buffers, mixed
 
 LENGTH = 50
+#: Text in a block, and the most blocks (their numbers take two bytes); more text makes blocks larger.
+PART_BYTES = 1 << 22
+MAX_PARTS = 1 << 16
 _GRAM = 24
 _SIDE = LENGTH - _GRAM
 _CONTEXT = _SIDE + LENGTH
@@ -214,14 +217,15 @@ def remove_repeats(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
     without an id come after all others. A missing text is empty. Repeated rows come
     out as often as they come in; no documents give no rows; other columns are ignored.
 
-    ``n_parts`` blocks and buckets are made, four times the shuffle partitions unless
-    given; it must grow with the data. The texts are shuffled once, 5 bytes go to a
+    ``n_parts`` blocks and buckets are made, one for ``PART_BYTES`` of text unless given. The texts are shuffled once, 5 bytes go to a
     bucket for each anchor (one in 14 bytes of text), and contexts only where an anchor
     repeats. Contexts that a block repeats are sent once, so copies of a passage cost a
     bucket one row a block.
     """
-    spark = docs.sparkSession
-    parts = n_parts or min(65_536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n_parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_parts = size // PART_BYTES + 1
+    parts = min(n_parts, MAX_PARTS)
     blocks = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
