@@ -70,10 +70,11 @@ class Windows:
 
 
 def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
-    """All windows with enough plain words, or those whose hash is among the sorted ``wanted``.
+    """All windows with enough plain words as templates, those with placeholders also as plain words.
 
-    ``values`` has a row per window: the hash of the word behind a placeholder, 0 for
-    plain words. ``per_doc`` counts the windows of each document before ``wanted``.
+    With ``wanted``, sorted hashes, only windows with one of these. ``values`` has a row
+    per window: the hash of the word behind a placeholder, 0 for plain words. ``per_doc``
+    counts the places of a window in each document.
     """
     plain = bare(words)
     value = plain.hashes()
@@ -98,26 +99,37 @@ def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
     filled = number | unit | name
 
     count = max(n - WINDOW + 1, 0)
-    hashed, slots = np.zeros(count, np.uint64), np.zeros(count, np.int64)
-    for i in range(WINDOW):
-        hashed = (hashed + token[i : i + count]) * _STEP
-        slots += filled[i : i + count]
-    hashed = mixed(hashed)
-    usable = (plain.doc[:count] == plain.doc[WINDOW - 1 : WINDOW - 1 + count]) & (WINDOW - slots >= LEAST_WORDS)
-    per_doc = np.bincount(plain.doc[:count][usable], minlength=words.n_docs)
-    if wanted is not None:
-        low = np.uint64((1 << 20) - 1)
-        seen = np.zeros(1 << 20, dtype=bool)
-        seen[wanted & low] = True
-        usable &= seen[hashed & low]
-        at = np.flatnonzero(usable)
-        at = at[np.isin(hashed[at], wanted)]
-    else:
+    inside = plain.doc[:count] == plain.doc[WINDOW - 1 : WINDOW - 1 + count]
+    slots = sum((filled[i : i + count].astype(np.int64) for i in range(WINDOW)), np.zeros(count, np.int64))
+    values = np.where(filled, value, np.uint64(0))
+    found = []
+    # The words themselves where a window has placeholders, too: names that capitals or sentence starts hide still match.
+    for tokens, slot_values, usable in (
+        (token, values, inside & (WINDOW - slots >= LEAST_WORDS)),
+        (mixed(value), np.zeros_like(values), inside & (slots > 0)),
+    ):
+        hashed = np.zeros(count, np.uint64)
+        for i in range(WINDOW):
+            hashed = (hashed + tokens[i : i + count]) * _STEP
+        hashed = mixed(hashed)
         at = np.flatnonzero(usable)
+        if wanted is not None:
+            low = np.uint64((1 << 20) - 1)
+            seen = np.zeros(1 << 20, dtype=bool)
+            seen[wanted & low] = True
+            at = at[seen[hashed[at] & low]]
+            at = at[np.isin(hashed[at], wanted)]
+        found.append((at, hashed[at], slot_values[at[:, None] + np.arange(WINDOW)]))
+    at = np.concatenate([f[0] for f in found])
+    order = np.argsort(at, kind="stable")
+    at = at[order]
     first_word = np.searchsorted(plain.doc, np.arange(words.n_docs))
-    values = np.where(filled, value, np.uint64(0))
     return Windows(
-        plain.doc[at], at - first_word[plain.doc[at]], hashed[at], values[at[:, None] + np.arange(WINDOW)], per_doc
+        plain.doc[at],
+        at - first_word[plain.doc[at]],
+        np.concatenate([f[1] for f in found])[order],
+        np.concatenate([f[2] for f in found])[order],
+        np.bincount(plain.doc[:count][inside], minlength=words.n_docs),
     )
 
 
