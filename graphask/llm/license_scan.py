@@ -110,7 +110,7 @@ def _templates() -> list[tuple[str, list[str], zstandard.ZstdCompressor]]:
 
 
 def _difference(template: list[str], found: list[str]) -> tuple[int, int, int]:
-    """Words that differ, and the first and last word of the block that belong to the notice."""
+    """Words missing plus words added (a replaced word is both), and the first and last word of the block that belong to the notice."""
     same = [m for m in difflib.SequenceMatcher(None, template, found, autojunk=False).get_matching_blocks() if m.size]
     if not same:
         return len(template), 0, 0
