@@ -36,7 +36,7 @@ FACTORS = 8
 #: Terms with a weight: the most telling ones, in this many documents at least, whose share of toxic ones differs by a factor.
 TERMS = 4_096
 LEAST_DOCUMENTS = 8
-LEAST_LIFT = 2.0
+LEAST_LIFT = 1.8
 LEAST_CHI_SQUARE = 25.0
 SHRINK = 10.0
 STEPS = 300
