@@ -10,9 +10,11 @@ from graphask.examples.star_schema import (
     PHRASINGS_SQL,
     QUESTIONS_SQL,
     SAMPLES_SQL,
+    SHORT_PART,
     TABLES,
 )
 from graphask.functions.answers import ERROR_TEXT, NAME_SEPARATOR, NOT_FOUND_TEXT, TIPS_PREFIX
+from graphask.operators.graph import NAMES_PER_PART
 from graphask.functions.text import FULL_WIDTH, HALF_WIDTH
 
 _HALF_SQL = HALF_WIDTH.replace("'", "''")
@@ -32,6 +34,31 @@ def _views(text: str) -> str:
     return text.format_map({name: name for name in (*TABLES, "phrasings")})
 
 
+def _parts(keys: str, name: str, separator: str, size: int, source: str) -> str:
+    """Sorted lists of ``name`` per ``keys``, in slices of ``size`` names."""
+    return f"""
+        SELECT {keys}, CAST(place // {size} AS INTEGER) AS part_no,
+               CAST((n_names + {size - 1}) // {size} AS INTEGER) AS n_parts, n_names,
+               string_agg({name}, '{separator}' ORDER BY place) AS names
+        FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {name}) - 1 AS place,
+                     count(*) OVER (PARTITION BY {keys}) AS n_names FROM ({source}))
+        GROUP BY {keys}, place // {size}, n_names"""
+
+
+def _lookups(size: int) -> str:
+    asked = """
+        SELECT t.template_id, i.name AS slot_name, i.source_name
+        FROM templates t JOIN inbound i ON i.rel = t.rel AND i.label = t.label WHERE t.kind = 'inbound'"""
+    return f"""
+        SELECT t.template_id, f.name AS slot_name, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS n_parts,
+               f.match_count, CASE t.kind WHEN 'record' THEN c.card ELSE f.props.p1 END AS raw_answer
+        FROM templates t JOIN first_nodes f ON f.label = t.label JOIN cards c ON c.node_id = f.node_id
+        WHERE t.kind <> 'inbound'
+        UNION ALL
+        SELECT template_id, slot_name, part_no, n_parts, n_names, names
+        FROM ({_parts('template_id, slot_name', 'source_name', NAME_SEPARATOR, size, asked)})"""
+
+
 # Named sub-queries; each may use the ones above it.
 _CTES = {
     "nodes": _views(NODES_SQL),
@@ -134,18 +161,11 @@ _CTES = {
         SELECT label, name, node_id,
                name || coalesce(' nation ''' || p1 || '''.', '') || coalesce(' type ''' || p2 || '''.', '') AS card
         FROM nodes""",
-    "lookups": f"""
-        SELECT t.template_id, f.name AS slot_name, f.match_count,
-               CASE t.kind WHEN 'record' THEN c.card ELSE f.props.p1 END AS raw_answer
-        FROM templates t JOIN first_nodes f ON f.label = t.label JOIN cards c ON c.node_id = f.node_id
-        WHERE t.kind <> 'inbound'
-        UNION ALL
-        SELECT t.template_id, i.name, count(*), string_agg(i.source_name, '{NAME_SEPARATOR}' ORDER BY i.source_name)
-        FROM templates t JOIN inbound i ON i.rel = t.rel AND i.label = t.label
-        WHERE t.kind = 'inbound' GROUP BY t.template_id, i.name""",
+    "lookups": _lookups(NAMES_PER_PART),
+    "short_lookups": _lookups(SHORT_PART),
     "answered": f"""
-        SELECT a.question_id, a.template_id, a.slot1, a.slot2, CAST(0 AS INTEGER) AS part_no,
-               CAST(1 AS INTEGER) AS n_parts, coalesce(l.match_count, 0) AS match_count,
+        SELECT a.question_id, a.template_id, a.slot1, a.slot2, coalesce(l.part_no, 0) AS part_no,
+               coalesce(l.n_parts, 1) AS n_parts, coalesce(l.match_count, 0) AS match_count,
                CASE WHEN a.slot_name <> '' AND coalesce(l.raw_answer, '') NOT IN ('', '\\N') THEN l.raw_answer
                     ELSE '{NOT_FOUND_TEXT}' END AS answer,
                CASE WHEN a.slot_name = '' THEN 'no_slot'
@@ -226,11 +246,9 @@ _FILLED = """
     FROM questions q JOIN templates t ON t.template_id = q.gold_template
     LEFT JOIN mentions m1 ON m1.question_id = q.question_id AND m1.tag = split_part(t.pattern, ' ', 1)
     LEFT JOIN mentions m2 ON m2.question_id = q.question_id AND m2.tag = split_part(t.pattern, ' ', 2)"""
-_LISTS = """
-    SELECT t.rel, t.label, t.name, count(*) AS n_names,
-           string_agg(i.source_name, '<sep>' ORDER BY i.source_name) AS names
-    FROM targets t JOIN inbound i ON i.rel = t.rel AND i.label = t.label AND i.name = t.name
-    GROUP BY t.rel, t.label, t.name"""
+_REACHED = """
+    SELECT t.rel, t.label, t.name, i.source_name
+    FROM targets t JOIN inbound i ON i.rel = t.rel AND i.label = t.label AND i.name = t.name"""
 
 _BODIES = {
     "src_dictionary": "SELECT c_name AS word, 'tcust' AS tag, CAST(0 AS INTEGER) AS freq, CAST(1 AS BIGINT) AS load_order FROM customer",
@@ -333,22 +351,22 @@ _BODIES = {
         SELECT i.rel, i.label, i.name, i.src_id, i.source_name
         FROM targets t JOIN inbound i ON i.rel = t.rel AND i.label = t.label AND i.name = t.name""",
     "graph_neighbor_lists": f"""
-        SELECT rel, label, name, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS n_parts, n_names, names
-        FROM ({_LISTS.replace('<sep>', ',')})""",
+        SELECT rel, label, name, part_no, n_parts, n_names, names
+        FROM ({_parts('rel, label, name', 'source_name', ',', SHORT_PART, _REACHED)})""",
     "graph_route": """
-        SELECT q.gold_template AS template_id, q.gold_name AS slot_name,
-               CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS n_parts,
+        SELECT q.gold_template AS template_id, q.gold_name AS slot_name, coalesce(l.part_no, 0) AS part_no,
+               coalesce(l.n_parts, 1) AS n_parts,
                coalesce(l.match_count, 0) AS match_count, l.raw_answer, CAST(1 AS INTEGER) AS well_formed
         FROM (SELECT DISTINCT gold_template, gold_name FROM questions) q
-        LEFT JOIN lookups l ON l.template_id = q.gold_template AND l.slot_name = q.gold_name""",
+        LEFT JOIN short_lookups l ON l.template_id = q.gold_template AND l.slot_name = q.gold_name""",
     "ans_join_names": f"""
-        SELECT t.rel, t.name, CASE WHEN l.names IS NOT NULL THEN CAST(0 AS INTEGER) END AS part_no, l.names AS answer
-        FROM targets t LEFT JOIN ({_LISTS.replace('<sep>', NAME_SEPARATOR)}) l
+        SELECT t.rel, t.name, l.part_no, l.names AS answer
+        FROM targets t
+        LEFT JOIN ({_parts('rel, label, name', 'source_name', NAME_SEPARATOR, SHORT_PART, _REACHED)}) l
           ON l.rel = t.rel AND l.label = t.label AND l.name = t.name""",
     "ans_tips": f"""
-        SELECT CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS n_parts,
-               '{TIPS_PREFIX}' || string_agg(c_name, '{NAME_SEPARATOR}' ORDER BY c_name) AS tips
-        FROM customer""",
+        SELECT part_no, n_parts, CASE part_no WHEN 0 THEN '{TIPS_PREFIX}' ELSE '' END || names AS tips
+        FROM ({_parts('kind', 'c_name', NAME_SEPARATOR, SHORT_PART, "SELECT 'customer' AS kind, c_name FROM customer")})""",
     "ans_image": """
         SELECT page_id, CASE WHEN contains(html, '<img') AND url NOT IN ('', '\\N') THEN
           '<a target="_blank" rel="noopener noreferrer" href="' || url || '"><img src="' || url || '" title="点击查看大图"></a>'

@@ -83,6 +83,8 @@ SELECT question_id, gold_template, gold_name, replace(pattern, '<x>', gold_name)
 """
 
 CARD_CLAUSES = (("p1", " nation '%s'."), ("p2", " type '%s'."))
+#: Names per part in the list queries, small enough that most lists come out in several parts.
+SHORT_PART = 5
 TAG_ORDER = ("tsupp", "tpart", "tnation", "tcust")
 
 

@@ -49,17 +49,18 @@ def image(url: Column) -> Column:
     return F.when(url.isNotNull(), F.format_string(IMAGE_FORMAT, url))
 
 
-def card(name: Column, props: Column, clauses: Sequence[tuple[str, str]] = PRODUCT_CARD) -> Column:
-    """The name followed by one clause per present property; null when there is no record."""
-    parts = [F.when(props[field].isNotNull(), F.format_string(fmt, props[field])) for field, fmt in clauses]
-    return F.when(props.isNotNull(), F.concat(name, F.concat_ws("", *parts)))
-
-
 def present(answer: Column) -> Column:
     """The answer, or null when it is null, empty or the null marker."""
     return F.nullif(F.nullif(answer, F.lit("")), F.lit(NULL_MARKER))
 
 
+def card(name: Column, props: Column, clauses: Sequence[tuple[str, str]] = PRODUCT_CARD) -> Column:
+    """The name followed by one clause per present property; null when there is no record."""
+    values = [(present(props[field]), fmt) for field, fmt in clauses]
+    parts = [F.when(value.isNotNull(), F.format_string(fmt, value)) for value, fmt in values]
+    return F.when(props.isNotNull(), F.concat(name, F.concat_ws("", *parts)))
+
+
 def status_of(answer: Column, has_slot: Column, well_formed: Column) -> Column:
     return (
         F.when(~well_formed, ERROR)

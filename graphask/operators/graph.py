@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import cached_property
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphask.functions import answers as an
@@ -120,18 +120,17 @@ def name_lists(
     rows: DataFrame,
     by: Sequence[str],
     name: str,
-    spread_by: Sequence[str],
     names_per_part: int = NAMES_PER_PART,
 ) -> NameLists:
     """Sorted name lists per group.
 
-    A group over ``names_per_part`` comes out in several parts, chosen by a hash
-    of ``spread_by``, so no list grows with the data; the parts together are the
-    whole list. ``n_names`` counts the whole group.
+    A group over ``names_per_part`` comes out in several parts, which are slices of the
+    whole sorted list: the parts in their order are the list, whatever their size.
+    ``n_names`` counts the whole group. Only the rows of long groups are sorted by
+    ranges, so no task holds a whole group, however many equal rows it has.
     """
     by = list(by)
-    spread = F.xxhash64(*spread_by)
-    rows = cut_lineage(rows.select(*by, F.col(name).alias("_name"), spread.alias("_spread")))
+    rows = cut_lineage(rows.select(*by, F.col(name).alias("_name")))
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     long_groups = counts.where(F.col("n") > names_per_part).select(
         *by,
@@ -140,14 +139,16 @@ def name_lists(
     )
     size = measure(long_groups)
     if size.rows == 0:
-        parted = rows.withColumns({"n_long": F.lit(None).cast("long"), "n_parts": F.lit(1)})
+        marked = rows.withColumns({"n_long": F.lit(None).cast("long"), "n_parts": F.lit(1)})
     else:
         side, bounded = broadcast_if_bounded(long_groups, size=size)
         hot = None if bounded else find_hot_keys(counts, by)
-        parted = salted_join(rows, side, by, hot, "_spread", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+        marked = salted_join(rows, side, by, hot, "_name", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+    whole = marked.where(F.col("n_long").isNull()).withColumn("part_no", F.lit(0))
+    if size.rows:
+        whole = whole.unionByName(_numbered_parts(marked.where(F.col("n_long").isNotNull()), by, names_per_part))
     lists = (
-        parted.withColumn("part_no", F.pmod("_spread", "n_parts").cast("int"))
-        .groupBy(*by, "part_no", "n_parts", "n_long")
+        whole.groupBy(*by, "part_no", "n_parts", "n_long")
         .agg(F.sort_array(F.collect_list("_name")).alias("names"))
         .select(
             *by,
@@ -160,16 +161,37 @@ def name_lists(
     return NameLists(lists, long_groups.select(*by, "n_parts") if size.rows else None)
 
 
+def _numbered_parts(rows: DataFrame, by: Sequence[str], names_per_part: int) -> DataFrame:
+    """``part_no`` from the place of each row in its sorted group: ranges, their counts, offsets.
+
+    A row number keeps equal rows apart, so they can be cut into ranges too.
+    """
+    order = [*by, "_name", "_row"]
+    numbered = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    ranged = cut_lineage(numbered.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in_range"))
+    # A group has at most one row per range here.
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_name", "_row")
+    place = F.col("_before") + F.row_number().over(inside) - 1
+    return (
+        ranged.join(offsets, [*by, "_range"])
+        .withColumn("part_no", F.floor(place / names_per_part).cast("int"))
+        .drop("_row", "_range", "_before")
+    )
+
+
 def neighbor_lists(requests: DataFrame, graph: Graph, names_per_part: int = NAMES_PER_PART) -> DataFrame:
     """The inbound names of each request as sorted lists."""
     reached = inbound_neighbors(requests, graph)
-    return name_lists(reached, ["rel", "label", "name"], "source_name", ["src_id", "dst_id"], names_per_part).lists
+    return name_lists(reached, ["rel", "label", "name"], "source_name", names_per_part).lists
 
 
 def tips(graph: Graph, label: str, names_per_part: int = NAMES_PER_PART) -> DataFrame:
     """What can be asked about: ``part_no, n_parts, tips``; only part 0 carries the prefix."""
-    named = graph.nodes.where(F.col("label") == label).select("label", "name", "node_id")
-    lists = name_lists(named, ["label"], "name", ["node_id"], names_per_part).lists
+    named = graph.nodes.where(F.col("label") == label).select("label", "name")
+    lists = name_lists(named, ["label"], "name", names_per_part).lists
     joined = an.join_names(F.col("names"))
     return lists.select(
         "part_no", "n_parts", F.when(F.col("part_no") == 0, an.tips(F.col("names"))).otherwise(joined).alias("tips")
@@ -218,7 +240,7 @@ def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_par
 
     inbound = routed.where(F.col("kind") == INBOUND).select(*_ASK, "name", "rel", "label")
     reached = inbound_neighbors(inbound, graph, carry=_ASK)
-    lists, long_asks = name_lists(reached, _ASK, "source_name", ["src_id", "dst_id"], names_per_part)
+    lists, long_asks = name_lists(reached, _ASK, "source_name", names_per_part)
     listed = lists.select(
         *_ASK,
         "part_no",

@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphask.plans import broadcast_if_bounded, find_hot_keys, salted_join
 
 # The entity tags in the order their dictionaries are loaded.
 DICTIONARY_ORDER = ("nap", "nba", "ndi", "neq", "nha", "nve", "napl")
@@ -53,8 +52,8 @@ def read_dictionaries(
 
 
 def _indexed(lines: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """``idx:text`` lines; a byte-order mark is stripped from the index."""
-    parts = F.split("value", ":")
+    """``idx:text`` lines, cut at the first colon; a byte-order mark is stripped from the index."""
+    parts = F.split("value", ":", 2)
     index = F.replace(F.get(parts, F.lit(0)), F.lit("﻿"), F.lit(""))
     return lines.where(F.trim("value") != ""), index, F.get(parts, F.lit(1))
 
@@ -83,17 +82,13 @@ def label_sections(lines: DataFrame) -> DataFrame:
     ``lines`` has ``file, split, seq, value``: ``split`` orders the pieces of a
     file, ``seq`` the lines of a piece. A header opens a section
     (``===== id pattern =====``) and blank lines are skipped. Lines above the
-    first header of a file belong to that header; when an id has several
-    sections, the last one counts. No group is larger than one piece: the label
+    first header of a file belong to that header; all sections of an id count,
+    in one file or many. No group is larger than one piece: the label
     open at the end of each piece is carried over between pieces in a table
     with one row per piece.
     """
     is_header = F.startswith("value", F.lit(_HEADER))
-    position = F.struct("file", "split", "seq")
-    header = F.when(
-        is_header,
-        F.struct(F.get(F.split("value", " "), F.lit(1)).cast("int").alias("label"), position.alias("at")),
-    )
+    header = F.when(is_header, F.get(F.split("value", " "), F.lit(1)).cast("int"))
     marked = lines.where(F.col("value") != "").withColumn("header", header)
 
     so_far = Window.partitionBy("file", "split").orderBy("seq")
@@ -119,20 +114,8 @@ def label_sections(lines: DataFrame) -> DataFrame:
         within.where(F.col("header").isNull())
         .join(carried, ["file", "split"])
         .withColumn("section", F.coalesce("open", "carried", "opening"))
-        .select("section.label", F.col("section.at").alias("at"), "seq", F.col("value").alias("sentence"))
-    )
-    latest = (
-        marked.where(F.col("header").isNotNull())
-        .groupBy("header.label")
-        .agg(F.max("header.at").alias("latest_at"))
     )
-    latest, bounded = broadcast_if_bounded(latest)
-    if bounded:
-        kept = labelled.join(latest, "label")
-    else:
-        hot = find_hot_keys(labelled.groupBy("label").agg(F.count("*").alias("n")), ["label"])
-        kept = salted_join(labelled, latest, ["label"], hot, "seq")
-    return kept.where(F.col("at") == F.col("latest_at")).select("label", "sentence")
+    return labelled.select("section", F.col("value").alias("sentence")).withColumnRenamed("section", "label")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

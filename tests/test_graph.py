@@ -48,7 +48,7 @@ def test_every_template(routed, template):
 def test_missing_values(routed):
     assert routed[0, "鲤鱼"]["raw_answer"] == "\\N"
     assert routed[2, "鲤鱼"]["raw_answer"] is None
-    assert routed[25, "鲤鱼"]["raw_answer"] == "鲤鱼别名'\\N'。它的特征是'有须'。"
+    assert routed[25, "鲤鱼"]["raw_answer"] == "鲤鱼它的特征是'有须'。"
     for ask in ((23, "水库"), (0, "无"), (0, "")):
         assert (routed[ask]["raw_answer"], routed[ask]["match_count"]) == (None, 0)
         assert routed[ask]["well_formed"]
@@ -82,17 +82,28 @@ def test_long_lists_come_in_parts(spark):
     rows = neighbor_lists(asked, graph, names_per_part=40).collect()
     parts = [r for r in rows if r["name"] == "h"]
     assert len(parts) == 8 and {r["n_parts"] for r in parts} == {8} and {r["n_names"] for r in parts} == {300}
-    assert sorted(n for r in parts for n in r["names"]) == [f"n{i:03d}" for i in range(1, 301)]
-    assert max(len(r["names"]) for r in parts) < 80
+    in_order = [n for r in sorted(parts, key=lambda r: r["part_no"]) for n in r["names"]]
+    assert in_order == [f"n{i:03d}" for i in range(1, 301)]
+    assert {len(r["names"]) for r in parts} == {40, 20}
     assert [(r["n_parts"], r["names"]) for r in rows if r["name"] == "small"] == [(1, ["n005"])]
 
 
-def test_many_long_groups_take_the_shuffle_path(spark, monkeypatch):
-    rows = spark.range(400).select((F.col("id") % 4).alias("g"), F.col("id").cast("string").alias("name"), "id")
+@pytest.mark.parametrize("size", [1, 7, 30, 99, 100, 1000])
+def test_parts_in_order_are_the_list(spark, monkeypatch, size):
+    rows = spark.range(400).select((F.col("id") % 4).alias("g"), (F.col("id") % 50).cast("string").alias("name"))
     monkeypatch.setattr(gr, "broadcast_if_bounded", lambda df, size: (df, False))
-    lists = name_lists(rows, ["g"], "name", ["id"], names_per_part=30).lists.collect()
-    assert sorted(int(n) for r in lists for n in r["names"]) == list(range(400))
-    assert {r["n_parts"] for r in lists} == {4}
+    lists = sorted(name_lists(rows, ["g"], "name", names_per_part=size).lists.collect(), key=lambda r: (r["g"], r["part_no"]))
+    for g in range(4):
+        own = [r for r in lists if r["g"] == g]
+        assert [r["part_no"] for r in own] == list(range(own[0]["n_parts"])) and {r["n_names"] for r in own} == {100}
+        assert [n for r in own for n in r["names"]] == sorted(str(i % 50) for i in range(g, 400, 4))
+        assert all(len(r["names"]) == size for r in own[:-1])
+
+
+def test_parallel_edges_are_cut_into_parts(spark):
+    rows = spark.range(500).select(F.lit(1).alias("g"), F.lit("same").alias("name"))
+    lists = name_lists(rows, ["g"], "name", names_per_part=100).lists.collect()
+    assert sorted((r["part_no"], len(r["names"])) for r in lists) == [(i, 100) for i in range(5)]
 
 
 def test_parallel_edges_stay_a_bag(spark):

@@ -62,7 +62,18 @@ a2
 
 def test_sectioned_samples(spark, tmp_path):
     got = sorted(tuple(r) for r in read_samples(spark, write(tmp_path / "s.txt", SECTIONS)).collect())
-    assert got == [(0, "a1"), (0, "a2"), (1, "b1"), (1, "b2")]
+    assert got == [(0, "a1"), (0, "a2"), (0, "above the first header"), (0, "old phrasing"), (1, "b1"), (1, "b2")]
+
+
+def test_sections_of_all_files_count(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"{i}.txt", f"===== 0 x y =====\nzero {i}\n===== 1 x y =====\none {i}\n")
+    got = sorted(tuple(r) for r in read_samples(spark, str(tmp_path)).collect())
+    assert got == [(label, f"{word} {i}") for label, word in ((0, "zero"), (1, "one")) for i in range(3)]
+
+
+def test_only_the_first_colon_cuts(spark, tmp_path):
+    assert read_vocabulary(spark, write(tmp_path / "v.txt", "7:a:b\n")).first()["word"] == "a:b"
 
 
 def test_section_that_spans_file_splits(spark, tmp_path):
