@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphask.llm.textbytes import Words, mixed, pieces
+from graphask.llm.textbytes import Words, in_small_batches, mixed, pieces
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,7 +99,8 @@ def map_texts(
                 kept = [batch.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, *new], schema.fieldNames())
 
-    return docs.select(*columns, F.col("text").cast("string").alias("_whole_text")).mapInArrow(run, schema)
+    texts = docs.select(*columns, F.col("text").cast("string").alias("_whole_text"))
+    return in_small_batches(texts).mapInArrow(run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, allowed: Column, rows: int) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphask.llm.textbytes import in_small_batches
+
 #: Words that may differ from a template, as a share of its words.
 MOST_DIFFERENT = 0.2
 #: Templates that are compared word by word, best savings first.
@@ -191,7 +193,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), found], ["doc_id", "text", "found"])
 
     hinted = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("(?i)" + _HINT.pattern))
-    each = hinted.mapInArrow(run, schema).select("doc_id", "text", F.explode("found").alias("m"))
+    each = in_small_batches(hinted).mapInArrow(run, schema).select("doc_id", "text", F.explode("found").alias("m"))
     return each.select(
         "doc_id",
         "m.license",

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
 from graphask.llm.components import components
+from graphask.llm.textbytes import in_small_batches
 from graphask.plans.lineage import stored
 
 SEED = 42
@@ -63,7 +64,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = pa.array([fingerprint(text.as_py()) for text in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return in_small_batches(texts).mapInArrow(run, schema)
 
 
 def _turned(block: Column) -> Column:

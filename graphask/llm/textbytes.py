@@ -7,7 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Rows that travel to a Python worker at a time where the session has not chosen a number: texts may be long.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SPARK_DEFAULT = "10000"
 #: Bytes of text handled at a time; a longer text or word makes its piece longer.
 PIECE = 1 << 20
 
@@ -17,6 +22,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """The table, in a session whose Arrow batches suit texts; a setting other than Spark's default stays."""
+    conf = texts.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _SPARK_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return texts
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     values = (values ^ (values >> np.uint64(30))) * _MIX
