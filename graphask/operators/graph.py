@@ -7,7 +7,7 @@ are measured once per graph and salted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 from typing import NamedTuple
 
@@ -57,9 +57,21 @@ def node_scan(nodes: DataFrame, label: str) -> DataFrame:
     return nodes.where(F.col("label") == label).select("name")
 
 
-def matching_nodes(requests: DataFrame, graph: Graph) -> DataFrame:
-    """Nodes asked for by ``label, name``; requests are distinct per label and name set."""
-    return salted_join(graph.nodes, requests, ["label", "name"], graph.hot_names, "node_id")
+def _meet(many: DataFrame, asked: DataFrame, keys: list[str], hot: Callable[[], HotKeys], spread_by: str) -> DataFrame:
+    """A graph table joined to distinct keys: it streams past them while they are few, else both are shuffled."""
+    asked, bounded = broadcast_if_bounded(asked)
+    if bounded:
+        return many.join(asked, keys)
+    return salted_join(many, asked, keys, hot(), spread_by)
+
+
+def matching_nodes(requests: DataFrame, graph: Graph, labels: Sequence[str] | None = None) -> DataFrame:
+    """Nodes asked for by ``label, name``; requests are distinct per label and name set.
+
+    ``labels`` names all labels that are asked for, so that others are not read.
+    """
+    nodes = graph.nodes if labels is None else graph.nodes.where(F.col("label").isin(list(labels)))
+    return _meet(nodes, requests, ["label", "name"], lambda: graph.hot_names, "node_id")
 
 
 def property_lookup(requests: DataFrame, graph: Graph) -> DataFrame:
@@ -91,21 +103,36 @@ def node_record(requests: DataFrame, graph: Graph) -> DataFrame:
     return requests.join(found, keys, "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
 
 
-def inbound_neighbors(requests: DataFrame, graph: Graph, carry: Sequence[str] = ()) -> DataFrame:
+def inbound_neighbors(
+    requests: DataFrame,
+    graph: Graph,
+    carry: Sequence[str] = (),
+    labels: Sequence[str] | None = None,
+    rels: Sequence[str] | None = None,
+) -> DataFrame:
     """``rel, label, name`` -> one row per edge that ends there.
 
     Returns ``rel, label, name, *carry, src_id, dst_id, source_name``. Bag
     semantics: a source with two edges, or with edges to two targets of the
-    same name, comes out twice.
+    same name, comes out twice. ``labels`` and ``rels`` name all that are asked
+    for, so that other partitions are not read. Few targets, and few sources,
+    are sent to the graph; only many are met by a shuffle.
     """
     keys = ["rel", "label", "name", *carry]
-    targets = matching_nodes(requests.select(*keys), graph).select(*keys, F.col("node_id").alias("dst_id"))
-    edges = graph.edges.select("src_id", "rel", "dst_id")
-    reached = salted_join(edges, targets, ["rel", "dst_id"], graph.hot_targets, "src_id")
-    names = graph.nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("source_name"))
-    return salted_join(reached, names, ["src_id"], graph.hot_sources, "dst_id").select(
-        *keys, "src_id", "dst_id", "source_name"
+    asked = requests.select(*keys)
+    targets = cut_lineage(matching_nodes(asked, graph, labels).select(*keys, F.col("node_id").alias("dst_id")))
+    edges = graph.edges if rels is None else graph.edges.where(F.col("rel").isin(list(rels)))
+    reached = cut_lineage(
+        _meet(edges.select("src_id", "rel", "dst_id"), targets, ["rel", "dst_id"], lambda: graph.hot_targets, "src_id")
     )
+    names = graph.nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("source_name"))
+    sources, few = broadcast_if_bounded(reached.select("src_id").distinct())
+    if few:
+        # The names of few sources are few rows too: node ids are distinct.
+        named = reached.join(F.broadcast(names.join(sources, "src_id", "left_semi")), "src_id")
+    else:
+        named = salted_join(reached, names, ["src_id"], graph.hot_sources, "dst_id")
+    return named.select(*keys, "src_id", "dst_id", "source_name")
 
 
 class NameLists(NamedTuple):
@@ -206,6 +233,11 @@ class Routed(NamedTuple):
     long_asks: DataFrame | None
 
 
+def _asked(catalog: TemplateCatalog, field: str, direct: bool) -> list[str]:
+    """The labels or relations that the templates of the catalog can ask for."""
+    return sorted({getattr(t, field) for t in catalog.templates if (t.kind != INBOUND) == direct})
+
+
 def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_part: int = NAMES_PER_PART) -> Routed:
     """Answer distinct asks ``template_id, slot_name``; what is not found has a null ``raw_answer``.
 
@@ -229,7 +261,7 @@ def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_par
         .otherwise(value)
     )
     looked_up = (
-        matching_nodes(direct, graph)
+        matching_nodes(direct, graph, _asked(catalog, "label", direct=True))
         .select(*_ASK, "node_id", raw.alias("raw"))
         .groupBy(*_ASK)
         .agg(F.min(F.struct("node_id", "raw")).alias("first"), F.count(F.lit(1)).alias("match_count"))
@@ -239,7 +271,9 @@ def route(asks: DataFrame, graph: Graph, catalog: TemplateCatalog, names_per_par
     answered = plain.select(*_ASK, F.col("kind").isNotNull().alias("well_formed")).join(looked_up, _ASK, "left")
 
     inbound = routed.where(F.col("kind") == INBOUND).select(*_ASK, "name", "rel", "label")
-    reached = inbound_neighbors(inbound, graph, carry=_ASK)
+    reached = inbound_neighbors(
+        inbound, graph, _ASK, _asked(catalog, "label", direct=False), _asked(catalog, "rel", direct=False)
+    )
     lists, long_asks = name_lists(reached, _ASK, "source_name", names_per_part)
     listed = lists.select(
         *_ASK,

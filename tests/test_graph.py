@@ -5,6 +5,7 @@ from aquaculture import tables
 from graphask import schemas
 from graphask.functions import answers as an
 from graphask.operators import graph as gr
+from graphask.sources import read_edges, read_nodes, write_edges, write_nodes
 from graphask.operators.graph import Graph, name_lists, neighbor_lists, node_record, node_scan, property_lookup, route, tips
 from graphask.plans.catalog import AQUACULTURE_TEMPLATES, aquaculture_catalog
 
@@ -123,3 +124,20 @@ def test_statuses(spark):
     got = [tuple(r) for r in df.select(status.alias("st"), an.answer_text(F.col("a"), status).alias("t")).collect()]
     assert [g[0] for g in got] == ["ok", "not_found", "not_found", "not_found", "no_slot", "error"]
     assert [g[1] for g in got] == ["x"] + ["抱歉,我没有找到你要的答案"] * 4 + ["系统繁忙，请稍后重试..."]
+
+
+def test_few_asks_stream_past_the_graph(spark, graph, tmp_path):
+    write_nodes(graph.nodes, str(tmp_path / "nodes"))
+    write_edges(graph.edges, str(tmp_path / "edges"))
+    stored = Graph(read_nodes(spark, str(tmp_path / "nodes")), read_edges(spark, str(tmp_path / "edges")))
+    asked = spark.createDataFrame([("水产品", "草鱼", "别名")], "label string, name string, field string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = gr.matching_nodes(asked, stored, ["水产品"])
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "nodes" in line)
+    assert "PartitionFilters: [isnotnull(label" in scan and "水产品" in scan
