@@ -384,6 +384,10 @@ _BODIES = {
                     THEN 'not_found' ELSE 'ok' END AS status
         FROM questions""",
     "qa_batch": _ANSWERED,
+    "qa_normalized_questions": "SELECT question_id, template_id, slot1, slot2, slot_name FROM analyzed",
+    "qa_normalized_answers": """
+        SELECT DISTINCT a.template_id, a.slot_name, w.part_no, w.n_parts, w.match_count, w.answer, w.status
+        FROM analyzed a JOIN answered w USING (question_id)""",
     "qa_stream": _ANSWERED,
 }
 

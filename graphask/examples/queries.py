@@ -560,6 +560,18 @@ def qa_batch(star: StarSchema) -> DataFrame:
     return star.engine.answer(star.questions)
 
 
+@query
+def qa_normalized_questions(star: StarSchema) -> DataFrame:
+    """What each question asks; with the answers below, linear in questions and in asks."""
+    return star.engine.answer_normalized(star.questions)[0]
+
+
+@query
+def qa_normalized_answers(star: StarSchema) -> DataFrame:
+    """One row per distinct ask and part."""
+    return star.engine.answer_normalized(star.questions)[1]
+
+
 @query
 def qa_stream(star: StarSchema) -> DataFrame:
     base = scratch_dir(star.spark, "answer-stream")

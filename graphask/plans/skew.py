@@ -1,35 +1,36 @@
 """Joins that spread hot keys over many tasks.
 
-Only the side that can repeat a key is counted. Keys outside the listed hot
-ones hold at most ``1 / (MAX_HOT_KEYS + 1)`` of the rows each, so an ordinary
-hash partitioning already spreads them; nothing is dropped or capped.
+Only the side that can repeat a key is counted. Every key with more rows than a task
+should read is hot. The hot keys stay a table; at most ``MAX_HOT_KEYS`` keys can hold
+more than that share of all rows, so the table may always be broadcast. Nothing is
+dropped or capped.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_HOT_KEYS = 1_000
+from graphask.plans.broadcast import MAX_BROADCAST_ROWS
+from graphask.plans.lineage import cut_lineage
+
+MAX_HOT_KEYS = MAX_BROADCAST_ROWS
 ROWS_PER_TASK = 1_000_000
 _SALT = "_salt"
 _N_SALTS = "_n_salts"
 
 
 class HotKeys(NamedTuple):
-    """The at most ``MAX_HOT_KEYS`` most frequent keys with their salt counts."""
+    """Key columns, and the table of the hot keys with their salt counts, if there are any."""
 
     keys: list[str]
-    schema: T.StructType
-    rows: list[tuple]
+    table: DataFrame | None
 
     def __bool__(self) -> bool:
-        return bool(self.rows)
+        return self.table is not None
 
 
 def find_hot_keys(
@@ -38,20 +39,17 @@ def find_hot_keys(
     n: str = "n",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> HotKeys:
-    """Pick hot keys from per-key counts (``groupBy(keys).count()``, combined map-side)."""
-    fanout = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    top = (
-        counts.where(F.col(n) > rows_per_task)
-        .select(*keys, F.col(n).cast("long").alias("n"))
-        .orderBy(F.desc("n"))
-        .limit(MAX_HOT_KEYS)
-    )
-    rows = [
-        (*(row[k] for k in keys), max(2, min(math.ceil(row["n"] / rows_per_task), fanout)))
-        for row in top.collect()
-    ]
-    schema = T.StructType([counts.schema[k] for k in keys] + [T.StructField(_N_SALTS, T.IntegerType())])
-    return HotKeys(list(keys), schema, rows)
+    """Pick hot keys from per-key counts (``groupBy(keys).count()``, combined map-side).
+
+    Hot is a key with more than ``rows_per_task`` rows; where there are more than
+    ``MAX_HOT_KEYS * rows_per_task`` rows in all, one with more than its share of them.
+    """
+    sizes = counts.agg(F.sum(n).alias("rows"), F.count_if(F.col(n) > rows_per_task).alias("hot")).first()
+    if not sizes["hot"]:
+        return HotKeys(list(keys), None)
+    least = max(rows_per_task, sizes["rows"] // MAX_HOT_KEYS)
+    salts = F.greatest(F.lit(2), F.ceil(F.col(n) / rows_per_task).cast("int"))
+    return HotKeys(list(keys), cut_lineage(counts.where(F.col(n) > least).select(*keys, salts.alias(_N_SALTS))))
 
 
 def salted_join(
@@ -70,7 +68,7 @@ def salted_join(
     keys = list(keys)
     if not hot:
         return many.join(one, keys, how)
-    hot_keys = F.broadcast(many.sparkSession.createDataFrame(hot.rows, hot.schema))
+    hot_keys = F.broadcast(hot.table)
     n_salts = F.coalesce(F.col(_N_SALTS), F.lit(1))
     left = (
         many.join(hot_keys, hot.keys, "left")

@@ -18,8 +18,7 @@ def test_hot_keys_are_the_frequent_ones(spark, sides):
     many, _ = sides
     counts = many.groupBy("k").agg(F.count("*").alias("n"))
     hot = find_hot_keys(counts, ["k"], rows_per_task=100)
-    assert [row[0] for row in hot.rows] == ["hot"]
-    assert hot.rows[0][1] == 3
+    assert [tuple(row) for row in hot.table.collect()] == [("hot", 3)]
     assert not find_hot_keys(counts, ["k"], rows_per_task=1000)
 
 
@@ -45,12 +44,28 @@ def test_hot_key_is_spread_over_tasks(spark, sides):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-def test_more_hot_keys_than_the_list_holds(spark, sides, monkeypatch):
-    many, one = sides
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 2)
+def test_thousands_of_hot_keys_are_all_spread(spark):
+    many = spark.range(60_000).select((F.col("id") % 3_000).alias("k"), "id")
+    one = spark.range(3_000).select(F.col("id").alias("k"), F.col("id").alias("v"))
     hot = find_hot_keys(many.groupBy("k").agg(F.count("*").alias("n")), ["k"], rows_per_task=5)
-    assert len(hot.rows) == 2
-    assert salted_join(many, one, ["k"], hot, "id").count() == many.join(one, "k").count()
+    assert hot.table.count() == 3_000 and {r[0] for r in hot.table.select("_n_salts").distinct().collect()} == {4}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(many, one, ["k"], hot, "id").withColumn("p", F.spark_partition_id())
+        places = joined.groupBy("k").agg(F.countDistinct("p").alias("n"), F.count("*").alias("rows")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(places) == 3_000 and {r["rows"] for r in places} == {20}
+    assert sum(r["n"] > 1 for r in places) > 2_900
+
+
+def test_the_table_of_hot_keys_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 10)
+    counts = spark.createDataFrame([(i, 100 if i < 3 else 10) for i in range(100)], "k int, n long")
+    hot = find_hot_keys(counts, ["k"], rows_per_task=5)
+    assert hot.table.count() <= 10
 
 
 def test_broadcast_only_within_bounds(spark, sides):
