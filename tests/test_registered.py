@@ -22,6 +22,10 @@ CHECKED = (
     "ml_predict",
     "graph_inbound_neighbors",
     "graph_route",
+    "graph_neighbor_lists",
+    "ans_tips",
+    "src_edges",
+    "qa_normalized_answers",
 )
 
 
