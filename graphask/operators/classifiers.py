@@ -179,6 +179,20 @@ def select_model(models: Sequence[TemplateClassifier], test: DataFrame) -> Templ
     return max(models, key=lambda model: scores[model.name])
 
 
+def compare_fitters(
+    points: DataFrame, words: Sequence[str], names: Sequence[str] = tuple(FITTERS), key: str = "sentence"
+) -> DataFrame:
+    """``model, n_test, accuracy`` of the named trainers on one split of ``points`` by the digest of ``key``."""
+    train, test = split_by_key(points, key)
+    return compare_models([FITTERS[name](train, words) for name in names], test)
+
+
+def best_fitter(compared: DataFrame) -> str:
+    """The most accurate name of :func:`compare_fitters`; the first in the order of ``FITTERS`` wins a tie."""
+    scores = {row["model"]: row["accuracy"] or 0.0 for row in compared.collect()}
+    return max((name for name in FITTERS if name in scores), key=scores.__getitem__)
+
+
 def lookup_templates(predictions: DataFrame, templates: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Add the ``pattern`` of the predicted template; a template set over the class limit is refused."""
     patterns, bounded = broadcast_if_bounded(

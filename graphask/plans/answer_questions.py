@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphask.functions import answers as an
 from graphask.functions import text as tx
-from graphask.operators.classifiers import TemplateClassifier, fit_naive_bayes
+from graphask.operators.classifiers import FITTERS, TemplateClassifier, best_fitter, compare_fitters
 from graphask.operators.features import labeled_points, vocabulary_words
 from graphask.operators.graph import NAMES_PER_PART, Graph, Routed, route
 from graphask.operators.tagging import NO_VARIANTS, Lexicon, match_spans
@@ -122,13 +122,25 @@ def build_engine(
     samples: DataFrame,
     catalog: TemplateCatalog,
     variants: tuple[str, str] = NO_VARIANTS,
+    classifier: str = "naive_bayes",
 ) -> QuestionEngine:
     """Train on ``samples`` and prepare the lookups.
 
     The samples go through the same tagging as the questions, so training and
-    scoring see the same words.
+    scoring see the same words. ``classifier`` names a trainer, or is ``best``: then
+    all are compared on a held-out fifth of the phrasings, and the winner is trained
+    on all of them. :func:`classifier_accuracy` returns that comparison.
     """
     lexicon = Lexicon(dictionary, vocabulary, variants)
     words = vocabulary_words(vocabulary, variants)
     points = labeled_points(samples, words, lexicon)
-    return QuestionEngine(Graph(nodes, edges), catalog, lexicon, fit_naive_bayes(points, words))
+    name = best_fitter(compare_fitters(points, words)) if classifier == "best" else classifier
+    return QuestionEngine(Graph(nodes, edges), catalog, lexicon, FITTERS[name](points, words))
+
+
+def classifier_accuracy(
+    dictionary: DataFrame, vocabulary: DataFrame, samples: DataFrame, variants: tuple[str, str] = NO_VARIANTS
+) -> DataFrame:
+    """``model, n_test, accuracy`` of every trainer on one held-out fifth of the phrasings."""
+    words = vocabulary_words(vocabulary, variants)
+    return compare_fitters(labeled_points(samples, words, Lexicon(dictionary, vocabulary, variants)), words)

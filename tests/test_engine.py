@@ -1,8 +1,10 @@
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from aquaculture import SAMPLES, TEMPLATE_IDS, tables
 from graphask import Template, TemplateCatalog, aquaculture_catalog, build_engine, schemas
+from graphask.operators.classifiers import best_fitter, compare_fitters
 from graphask.plans.answer_questions import QuestionEngine
 from graphask.sources import read_answers, stream_questions, write_answers
 from graphask.streaming import answer_stream
@@ -137,3 +139,22 @@ def test_catalog_is_bounded():
     rows = [Template(i, "nap x", "property", "l", "f", None, 1) for i in range(10_001)]
     with pytest.raises(ValueError, match="templates"):
         TemplateCatalog(rows)
+
+
+def test_engine_with_another_classifier(spark):
+    given = tables(spark)
+    engine = build_engine(spark, catalog=aquaculture_catalog(), classifier="decision_tree", **given)
+    assert engine.classifier.name == "decision_tree"
+    asked = spark.createDataFrame([(1, sentence(SAMPLES[0][1]))], schemas.QUESTIONS)
+    assert engine.analyze(asked).first()["template_id"] in TEMPLATE_IDS
+
+
+def test_trainers_are_compared_on_one_split(spark):
+    rows = [(k % 2, f"s{k}", float(k % 2), [1.0 - k % 2, float(k % 2)]) for k in range(60)]
+    points = spark.createDataFrame(rows, "label int, sentence string, x double, v array<double>").select(
+        "label", "sentence", array_to_vector("v").alias("features")
+    )
+    compared = compare_fitters(points, ["a", "b"])
+    scores = {r["model"]: (r["n_test"], r["accuracy"]) for r in compared.collect()}
+    assert set(scores) == {"naive_bayes", "decision_tree", "boosted"} and len({n for n, _ in scores.values()}) == 1
+    assert scores["naive_bayes"][1] == 1.0 and best_fitter(compared) == "naive_bayes"
