@@ -9,6 +9,7 @@ from graphask.examples.star_schema import (
     NODES_SQL,
     PHRASINGS_SQL,
     QUESTIONS_SQL,
+    RARE,
     SAMPLES_SQL,
     SHORT_PART,
     TABLES,
@@ -176,8 +177,11 @@ _CTES = {
         SELECT doc_id, lang, unnest({_tokens('text')}) AS word FROM documents""",
     "document_counts": "SELECT doc_id, lang, word, count(*) AS value FROM document_words GROUP BY ALL",
     "document_vocabulary": """
+        SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx
+        FROM (SELECT DISTINCT word FROM document_counts)""",
+    "frequent_vocabulary": f"""
         SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx FROM (
-          SELECT word FROM document_counts GROUP BY word HAVING count(*) * 20 >= (SELECT count(*) FROM documents))""",
+          SELECT word FROM document_counts GROUP BY word HAVING count(*) * {RARE} >= (SELECT count(*) FROM documents))""",
     "document_hits": "SELECT doc_id, lang, idx, value FROM document_counts JOIN document_vocabulary USING (word)",
     "language_theta": f"""
         SELECT label, idx,
@@ -312,8 +316,8 @@ _BODIES = {
     "txt_analyze": "SELECT question_id, template_id, slot1, slot2, n_hits FROM analyzed",
     "feat_binary_bow": "SELECT doc_id, idx FROM document_hits",
     "feat_labeled_points": """
-        SELECT h.doc_id, l.quality AS label, h.idx, CAST(1 AS DOUBLE) AS value
-        FROM document_hits h JOIN labels l ON l.doc_id = h.doc_id""",
+        SELECT c.doc_id, l.quality AS label, h.idx, CAST(1 AS DOUBLE) AS value
+        FROM document_counts c JOIN frequent_vocabulary h USING (word) JOIN labels l ON l.doc_id = c.doc_id""",
     "feat_vectors": """
         SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n_dims,
                CAST(len(list_filter(embedding, lambda v: v > 0)) AS INTEGER) AS n_positive,

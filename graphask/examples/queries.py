@@ -284,13 +284,17 @@ def _document_points(star: StarSchema) -> DataFrame:
 
     Written once as sparse vectors, so training and scoring do not go back to the texts.
     """
-    vectors = vectorize(star.document_words, star.document_vocabulary_words)
+    vectors = vectorize(star.document_words, star.frequent_words)
     return cut_lineage(vectors.select("doc_id", F.col("lang").alias("label"), "features"))
 
 
-def _language_model(star: StarSchema, points: DataFrame) -> cl.TemplateClassifier:
-    train, _ = cl.split_by_key(points, "doc_id")
-    return cl.fit_naive_bayes(train, star.document_vocabulary_words)
+def _language_scores(star: StarSchema) -> tuple[nb.NaiveBayesTable, DataFrame]:
+    """Table-form naive Bayes over the whole vocabulary, and ``doc_id, scores`` of every document."""
+    hits = cut_lineage(feature_hits(star.document_words, star.document_vocabulary, "doc_id", carry=["lang"]))
+    train, _ = cl.split_by_key(hits.withColumnRenamed("lang", "label"), "doc_id")
+    texts = star.table("documents").select("doc_id", F.col("lang").alias("label"))
+    model = nb.fit_table(train, cl.split_by_key(texts, "doc_id")[0], star.document_vocabulary)
+    return model, nb.score_table(model, texts, hits, "doc_id")
 
 
 @query
@@ -302,7 +306,7 @@ def feat_binary_bow(star: StarSchema) -> DataFrame:
 @query
 def feat_labeled_points(star: StarSchema) -> DataFrame:
     """Vectors are built before the join with the labels, so texts are not shuffled."""
-    vectors = vectorize(star.document_words, star.document_vocabulary_words).select("doc_id", "features")
+    vectors = vectorize(star.document_words, star.frequent_words).select("doc_id", "features")
     points = _labels(star).join(vectors, "doc_id")
     return points.select(
         "doc_id", "label", F.posexplode(vector_to_array("features")).alias("idx", "value")
@@ -362,34 +366,31 @@ def ml_naive_bayes_counts(star: StarSchema) -> DataFrame:
 
 @query
 def ml_predict(star: StarSchema) -> DataFrame:
-    points = _document_points(star)
-    return _language_model(star, points).predict(points).select("doc_id", "prediction")
+    model, scores = _language_scores(star)
+    return scores.select("doc_id", nb.argmax_label(model, F.col("scores")).alias("prediction"))
 
 
 @query
 def ml_predict_proba(star: StarSchema) -> DataFrame:
-    points = _document_points(star)
-    model = _language_model(star, points)
+    model, scores = _language_scores(star)
     labels = F.array(*[F.lit(label) for label in model.labels])
-    return (
-        model.predict(points)
-        .select("doc_id", F.posexplode("probability").alias("k", "p"))
-        .select("doc_id", F.get(labels, "k").alias("label"), F.round("p", 6).alias("probability"))
+    return scores.select("doc_id", F.posexplode(nb.probabilities(F.col("scores"))).alias("k", "p")).select(
+        "doc_id", F.get(labels, "k").alias("label"), F.round("p", 6).alias("probability")
     )
 
 
 @query
 def ml_accuracy(star: StarSchema) -> DataFrame:
-    points = _document_points(star)
-    _, test = cl.split_by_key(points, "doc_id")
-    result = cl.accuracy(_language_model(star, points).predict(test))
-    return result.withColumn("accuracy", F.round("accuracy", 6))
+    model, scores = _language_scores(star)
+    predicted = scores.select("doc_id", nb.argmax_label(model, F.col("scores")).alias("prediction"))
+    _, test = cl.split_by_key(star.table("documents").select("doc_id", F.col("lang").alias("label")), "doc_id")
+    return cl.accuracy(test.join(predicted, "doc_id")).withColumn("accuracy", F.round("accuracy", 6))
 
 
 def _compared(star: StarSchema, names: list[str]) -> DataFrame:
     points = _document_points(star)
     train, test = cl.split_by_key(points, "doc_id")
-    models = [cl.FITTERS[name](train, star.document_vocabulary_words) for name in names]
+    models = [cl.FITTERS[name](train, star.frequent_words) for name in names]
     return cl.compare_models(models, test)
 
 
@@ -408,7 +409,7 @@ def ml_select_model(star: StarSchema) -> DataFrame:
     """The model that the engine would use, and its accuracy on the held-out part."""
     points = _document_points(star)
     train, test = cl.split_by_key(points, "doc_id")
-    models = [fit(train, star.document_vocabulary_words) for fit in cl.FITTERS.values()]
+    models = [fit(train, star.frequent_words) for fit in cl.FITTERS.values()]
     best = cl.select_model(models, test)
     return cl.compare_models([best], test)
 

@@ -16,6 +16,7 @@ from graphask.operators.classifiers import fit_naive_bayes
 from graphask.operators.graph import Graph
 from graphask.operators.tagging import Lexicon
 from graphask.plans.answer_questions import QuestionEngine
+from graphask.plans import with_position
 from graphask.plans.catalog import INBOUND, PROPERTY, RECORD, Template, TemplateCatalog
 from graphask.sources import parse_dictionary, props_from_columns, union_dictionaries
 
@@ -83,6 +84,8 @@ SELECT question_id, gold_template, gold_name, replace(pattern, '<x>', gold_name)
 """
 
 CARD_CLAUSES = (("p1", " nation '%s'."), ("p2", " type '%s'."))
+#: A word of the vector form is in one document of so many at least.
+RARE = 20
 #: Names per part in the list queries, small enough that most lists come out in several parts.
 SHORT_PART = 5
 TAG_ORDER = ("tsupp", "tpart", "tnation", "tcust")
@@ -181,19 +184,21 @@ class StarSchema:
         return self.table("documents").select("doc_id", "lang", tx.tokenize(F.col("text")).alias("words"))
 
     @cached_property
-    def document_vocabulary_words(self) -> list[str]:
-        """Words in at least one document of twenty; there are at most 20 times the
-        mean number of distinct words of a document, however many documents."""
+    def document_vocabulary(self) -> DataFrame:
+        """``word, idx`` of every word of the documents, numbered in their order."""
+        words = self.document_words.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
+        numbered = with_position(words, ["word"])
+        return numbered.select(F.col("idx").cast("int").alias("idx"), "word")
+
+    @cached_property
+    def frequent_words(self) -> list[str]:
+        """Words in at least one document of ``RARE`` for the vector form, which has a driver-side vocabulary;
+        there are at most ``RARE`` times the mean number of distinct words of a document, however many documents."""
         n_documents = self.table("documents").count()
         words = (
             self.document_words.select(F.explode(F.array_distinct("words")).alias("word"))
             .groupBy("word")
             .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") * 20 >= n_documents)
+            .where(F.col("n") * RARE >= n_documents)
         )
         return sorted(row["word"] for row in words.select("word").collect())
-
-    @cached_property
-    def document_vocabulary(self) -> DataFrame:
-        rows = list(enumerate(self.document_vocabulary_words))
-        return self.spark.createDataFrame(rows, "idx int, word string")

@@ -2,6 +2,7 @@
 
 from graphask.plans.broadcast import broadcast_if_bounded, measure
 from graphask.plans.lineage import cut_lineage, scratch_dir, stored, use_local_scratch
+from graphask.plans.numbering import with_position
 from graphask.plans.skew import HotKeys, find_hot_keys, salted_join
 
 __all__ = [
@@ -14,4 +15,5 @@ __all__ = [
     "scratch_dir",
     "stored",
     "use_local_scratch",
+    "with_position",
 ]
