@@ -220,6 +220,14 @@ def test_training_beats_frequencies_and_orders_texts(spark):
     assert fit_network(docs, vocabulary, share, rounds=0).views["bias"].shape == (VOCABULARY,)
 
 
+def test_every_token_of_short_texts_is_trained_on(spark):
+    # The pair is never in the first place of a text, and every text has four words.
+    rows = [(i, f"start key{i % 8} value{i % 8} end") for i in range(4000)]
+    docs = spark.createDataFrame([*rows, (9000, "start key1 value5 end")], "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in score_documents(docs).collect()}
+    assert min(got[1], got[5]) > got[9000] + 2
+
+
 def test_pairs_of_terms_decide_toxicity():
     rng = np.random.default_rng(5)
     insult, group, label, docs, terms = rng.random(4000) < 0.5, rng.random(4000) < 0.5, [], [], []
