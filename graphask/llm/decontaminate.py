@@ -1,8 +1,8 @@
 """Benchmark items in documents, also with other numbers, names and units.
 
 Words become template tokens: numbers, names and units turn into typed placeholders,
-all else stays, in lower case and without marks at its ends. Windows of template tokens
-are joined by hash; the values that stood behind the placeholders must then map
+all else stays, in lower case and without marks at its ends. Windows of template tokens,
+the longer the more placeholders they hold, are joined by hash; the values that stood behind the placeholders must then map
 consistently from the item to the document.
 """
 
@@ -21,9 +21,9 @@ from graphask.llm.textbytes import Words, mixed
 from graphask.plans.lineage import stored
 
 WINDOW = 8
-#: Tokens of a window that must not be placeholders.
+#: Tokens of a template window that are not placeholders; the window is extended until it has them.
 LEAST_WORDS = 4
-#: Share of an item's windows that a document must have, and of placeholders that may contradict each other.
+#: Share of an item's windows of a form that a document must have, and of placeholders that may contradict each other.
 LEAST_SHARE = 0.5
 MOST_CONFLICTS = 0.2
 #: Up to this many item windows are looked up in the tasks; more are joined by a shuffle.
@@ -43,6 +43,7 @@ UNITS = (
 
 _NUMBER, _NAME, _UNIT = np.uint64(11), np.uint64(22), np.uint64(33)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?:;")] = True
 
@@ -60,21 +61,24 @@ _NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS)
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of template tokens: owner, place of the first token, hash, and the values behind its placeholders."""
+    """Windows of template tokens: owner, place of the first token, form, hash, and the values behind its placeholders."""
 
     doc: np.ndarray
     place: np.ndarray
+    template: np.ndarray
     hash: np.ndarray
     values: np.ndarray
     per_doc: np.ndarray
+    templates_per_doc: np.ndarray
 
 
 def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
-    """All windows with enough plain words as templates, those with placeholders also as plain words.
+    """All windows as templates, extended until they have enough plain words, those with placeholders also as plain words.
 
     With ``wanted``, sorted hashes, only windows with one of these. ``values`` has a row
-    per window: the hash of the word behind a placeholder, 0 for plain words. ``per_doc``
-    counts the places of a window in each document.
+    per window, for its first and its last ``WINDOW`` tokens: the hash of the word behind a
+    placeholder, 0 for plain words. ``per_doc`` and ``templates_per_doc`` count the places
+    of a window of any form and of a template in each document.
     """
     plain = bare(words)
     value = plain.hashes()
@@ -99,27 +103,35 @@ def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
     filled = number | unit | name
 
     count = max(n - WINDOW + 1, 0)
+    begin = np.arange(count)
     inside = plain.doc[:count] == plain.doc[WINDOW - 1 : WINDOW - 1 + count]
-    slots = sum((filled[i : i + count].astype(np.int64) for i in range(WINDOW)), np.zeros(count, np.int64))
+    slots = np.r_[0, np.cumsum(filled)]
+    slots = slots[WINDOW : WINDOW + count] - slots[:count]
+    words_at = np.flatnonzero(~filled)
+    enough = np.r_[words_at[LEAST_WORDS - 1 :], np.full(LEAST_WORDS, n)] if len(words_at) >= LEAST_WORDS else np.full(len(words_at) + 1, n)
+    extended = np.maximum(begin + WINDOW, enough[np.searchsorted(words_at, begin)] + 1)
+    whole = extended <= n
+    whole[whole] = plain.doc[begin[whole]] == plain.doc[extended[whole] - 1]
     values = np.where(filled, value, np.uint64(0))
+    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _STEP)])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n, _UNSTEP)])
     found = []
     # The words themselves where a window has placeholders, too: names that capitals or sentence starts hide still match.
-    for tokens, slot_values, usable in (
-        (token, values, inside & (WINDOW - slots >= LEAST_WORDS)),
-        (mixed(value), np.zeros_like(values), inside & (slots > 0)),
+    for tokens, slot_values, at, end in (
+        (token, values, begin[whole], extended[whole]),
+        (mixed(value), np.zeros_like(values), begin[inside & (slots > 0)], begin[inside & (slots > 0)] + WINDOW),
     ):
-        hashed = np.zeros(count, np.uint64)
-        for i in range(WINDOW):
-            hashed = (hashed + tokens[i : i + count]) * _STEP
-        hashed = mixed(hashed)
-        at = np.flatnonzero(usable)
+        upto = np.r_[np.uint64(0), np.cumsum(tokens * power[:n])]
+        hashed = mixed((upto[end] - upto[at]) * back[at])
         if wanted is not None:
             low = np.uint64((1 << 20) - 1)
             seen = np.zeros(1 << 20, dtype=bool)
             seen[wanted & low] = True
-            at = at[seen[hashed[at] & low]]
-            at = at[np.isin(hashed[at], wanted)]
-        found.append((at, hashed[at], slot_values[at[:, None] + np.arange(WINDOW)]))
+            kept = np.flatnonzero(seen[hashed & low])
+            kept = kept[np.isin(hashed[kept], wanted)]
+            at, end, hashed = at[kept], end[kept], hashed[kept]
+        inner = np.concatenate([at[:, None] + np.arange(WINDOW), end[:, None] - np.arange(WINDOW, 0, -1)], axis=1)
+        found.append((at, hashed, slot_values[inner], np.full(len(at), not found)))
     at = np.concatenate([f[0] for f in found])
     order = np.argsort(at, kind="stable")
     at = at[order]
@@ -127,14 +139,18 @@ def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
     return Windows(
         plain.doc[at],
         at - first_word[plain.doc[at]],
+        np.concatenate([f[3] for f in found])[order],
         np.concatenate([f[1] for f in found])[order],
         np.concatenate([f[2] for f in found])[order],
         np.bincount(plain.doc[:count][inside], minlength=words.n_docs),
+        np.bincount(plain.doc[:count][whole], minlength=words.n_docs),
     )
 
 
 _LISTS = T.StructType([
     T.StructField("n_windows", T.LongType()),
+    T.StructField("n_templates", T.LongType()),
+    T.StructField("forms", T.ArrayType(T.BooleanType())),
     T.StructField("places", T.ArrayType(T.LongType())),
     T.StructField("hashes", T.ArrayType(T.LongType())),
     T.StructField("values", T.ArrayType(T.ArrayType(T.LongType()))),
@@ -142,20 +158,24 @@ _LISTS = T.StructType([
 
 
 def _windows(texts: DataFrame, columns: list[str], wanted: np.ndarray | None = None) -> DataFrame:
-    """One row per window: ``columns, n_windows, place, hash, values``."""
+    """One row per window: ``columns, n_windows, n_templates, template, place, hash, slots``."""
 
     def per_piece(words: Words) -> list:
         found = template_windows(words, wanted)
         ends = pa.array(np.searchsorted(found.doc, np.arange(words.n_docs + 1)).astype(np.int32))
-        rows = pa.array(np.arange(0, found.values.size + 1, WINDOW, dtype=np.int32))
+        rows = pa.array(np.arange(0, found.values.size + 1, 2 * WINDOW, dtype=np.int32))
         values = pa.ListArray.from_arrays(rows, pa.array(found.values.ravel().astype(np.int64)))
-        lists = (pa.array(found.place), pa.array(found.hash.astype(np.int64)), values)
-        return [found.per_doc.astype(np.int64), *(pa.ListArray.from_arrays(ends, column) for column in lists)]
+        lists = (pa.array(found.template), pa.array(found.place), pa.array(found.hash.astype(np.int64)), values)
+        counts = (found.per_doc.astype(np.int64), found.templates_per_doc.astype(np.int64))
+        return [*counts, *(pa.ListArray.from_arrays(ends, column) for column in lists)]
 
     listed = map_texts(texts, columns, _LISTS, per_piece).where(F.size("hashes") > 0)
-    each = F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("hashes").alias("hash"), F.col("values").alias("slots")))
-    return listed.select(*columns, "n_windows", each.alias("w")).select(
-        *columns, "n_windows", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")
+    each = F.explode(F.arrays_zip(
+        F.col("forms").alias("template"), F.col("places").alias("place"), F.col("hashes").alias("hash"), F.col("values").alias("slots")
+    ))
+    counts = ["n_windows", "n_templates"]
+    return listed.select(*columns, *counts, each.alias("w")).select(
+        *columns, *counts, F.col("w.template").alias("template"), F.col("w.place").alias("place"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")
     )
 
 
@@ -166,7 +186,8 @@ def row_key(docs: DataFrame) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, row_key, item_id, n_windows, n_matched, n_slots, n_conflicts`` of documents that hold an item.
 
-    A document holds an item if it has ``LEAST_SHARE`` of the item's windows. Windows
+    A document holds an item if it has ``LEAST_SHARE`` of the item's windows, or of its
+    templates. Windows
     with the same distance between their places in both texts are one occurrence; an
     occurrence counts only if few of its placeholders contradict each other, that is,
     one value of the item stands for two values of the document.
@@ -182,6 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         _windows(benchmark.select("item_id", "text").distinct(), ["item_id"]).select(
             "item_id",
             F.col("n_windows").alias("item_windows"),
+            F.col("n_templates").alias("item_templates"),
             F.col("place").alias("item_place"),
             "hash",
             F.col("slots").alias("item_slots"),
@@ -194,30 +216,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashes = [row["hash"] for row in items.select("hash").distinct().collect()]
         wanted = np.sort(np.array(hashes, dtype=np.int64).astype(np.uint64))
     keyed = docs.select("doc_id", "text", row_key(docs).alias("row_key"))
-    found = _windows(keyed, ["doc_id", "row_key"], wanted).drop("n_windows")
+    found = _windows(keyed, ["doc_id", "row_key"], wanted).drop("n_windows", "n_templates")
     hits = found.join(F.broadcast(items) if small else items, "hash").distinct()
-    pair = ["doc_id", "row_key", "item_id", "item_windows"]
+    pair = ["doc_id", "row_key", "item_id", "item_windows", "item_templates"]
     occurrence = [*pair, "shift"]
     placed = hits.withColumn("shift", F.col("place") - F.col("item_place"))
     slots = placed.select(
-        *occurrence, "item_place", F.explode_outer(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s")
+        *occurrence, "item_place", "template", F.explode_outer(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s")
     )
     mapped = slots.groupBy(*occurrence, F.col("s.a").alias("value")).agg(
-        F.collect_set("item_place").alias("item_places"), (F.min("s.b") < F.max("s.b")).alias("conflict")
+        F.collect_set("item_place").alias("item_places"),
+        F.collect_set(F.when(F.col("template"), F.col("item_place"))).alias("template_places"),
+        (F.min("s.b") < F.max("s.b")).alias("conflict")
     )
     is_slot = F.col("value") != 0
     checked = mapped.groupBy(*occurrence).agg(
         F.array_distinct(F.flatten(F.collect_list("item_places"))).alias("item_places"),
+        F.array_distinct(F.flatten(F.collect_list("template_places"))).alias("template_places"),
         F.count_if(is_slot).alias("n_slots"),
         F.count_if(is_slot & F.col("conflict")).alias("n_conflicts"),
     )
     agreeing = checked.where(F.col("n_conflicts") <= MOST_CONFLICTS * F.col("n_slots"))
     whole = agreeing.groupBy(*pair).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("item_places")))).cast("long").alias("n_matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("template_places")))).alias("n_as_template"),
         F.sum("n_slots").alias("n_slots"),
         F.sum("n_conflicts").alias("n_conflicts"),
     )
-    return whole.where(F.col("n_matched") >= LEAST_SHARE * F.col("item_windows")).withColumnRenamed("item_windows", "n_windows")
+    as_template = (F.col("n_as_template") > 0) & (F.col("n_as_template") >= LEAST_SHARE * F.col("item_templates"))
+    held = whole.where(as_template | (F.col("n_matched") >= LEAST_SHARE * F.col("item_windows")))
+    return held.drop("item_templates", "n_as_template").withColumnRenamed("item_windows", "n_windows")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

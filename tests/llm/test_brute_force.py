@@ -155,6 +155,15 @@ def test_parameterised_items(spark, text, held):
     assert bool(find_leaks(docs, items).collect()) == held
 
 
+def test_items_dense_in_slots_are_found_with_other_values(spark):
+    item = "On Monday Tom paid 12 euros, Ann paid 15 euros, Max paid 18 euros and Eva paid 21 euros for the trip."
+    other = "On Friday Bob paid 32 euros, Liz paid 35 euros, Jim paid 38 euros and Sue paid 41 euros for the trip."
+    rows = [(1, f"Some words before. {other} And some after."), (2, "Tom paid 12 euros for the trip and Ann paid 15 euros on Monday.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["n_conflicts"]) for r in found] == [(1, 0)]
+
+
 def test_slots_must_map_consistently(spark):
     item = "first add 5 apples then take 5 apples and give 5 apples away so that again 5 apples stay on the table"
     same = item.replace("5", "8")
