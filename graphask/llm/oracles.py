@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphask.llm import quality_rules as qr
+from graphask.llm import secret_scan
 
 _NAMES = [name for name, *_ in qr.RULES]
 
@@ -109,4 +110,41 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM cut
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_dedup": OP5, "op10_sharding": OP10}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """Matches are set between two private characters; their places follow from the lengths between them."""
+    rules = ", ".join(
+        f"({place}, {_quoted(r.kind)}, {_quoted(('(?i)' if r.any_case else '') + r.pattern)}, {r.group}, {r.least}, {place < len(secret_scan.BASE_RULES)})"
+        for place, r in enumerate(secret_scan.RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = {_quoted(r.kind)}) AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+rules(place, kind, pattern, part, least, base) AS (VALUES {rules}),
+marked AS (SELECT k, place, kind, pattern, part, least, base,
+                  string_split(regexp_replace(text, pattern, chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) AS pieces
+           FROM texts, rules WHERE regexp_matches(text, pattern)),
+piece AS (SELECT *, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM marked),
+placed AS (SELECT *, split_part(piece, chr(57345), 1) AS found,
+                  sum(length(piece) - CASE WHEN i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k, place ORDER BY i)
+                  - length(piece) + CASE WHEN i > 0 THEN 1 ELSE 0 END AS a
+           FROM piece),
+spans AS (SELECT k, place, kind, base, a, concat_ws(':', kind, a::BIGINT, (a + length(found))::BIGINT) AS span FROM placed
+          WHERE i > 0 AND length(CASE part WHEN 0 THEN found WHEN 1 THEN regexp_extract(found, pattern, 1)
+                                      ELSE regexp_extract(found, pattern, 2) END) >= least),
+joined AS (SELECT k, {counts}, string_agg(span, ',' ORDER BY a, place) FILTER (base) AS base_spans,
+                  string_agg(span, ',' ORDER BY a, place) AS spans FROM spans GROUP BY k)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_scan.BASE_RULES)},
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (k)
+"""
+
+
+OP11 = _secrets_sql()
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_dedup": OP5, "op10_sharding": OP10, "op11_secret_scan": OP11}

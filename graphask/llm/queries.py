@@ -15,6 +15,7 @@ from graphask.llm.masked_lm import score_documents
 from graphask.llm.oracles import ORACLES as ORACLES
 from graphask.llm.ordinal_quality import quality_grades
 from graphask.llm.quality_rules import quality_digest
+from graphask.llm.secret_scan import secret_digest
 from graphask.llm.simhash import simhash_digest
 from graphask.llm.soft_mixing import MIX_TARGETS, labelled_languages, mixing_rates
 from graphask.llm.suffix_dedup import repeat_digest
@@ -61,6 +62,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -72,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_secret_scan": op11_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
