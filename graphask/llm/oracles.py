@@ -84,21 +84,25 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM texts LEFT JOIN pieces USING (k)
 """
 
-#: The checksum is computed bit by bit for each of the 256 table entries, then byte by byte.
-OP10 = """
-WITH entries AS (
+#: The 256 table entries of the checksum, each computed bit by bit.
+_CRC_ENTRIES = """entries AS (
   SELECT list(list_reduce(list_concat([b], [8, 8, 8, 8, 8, 8, 8, 8]),
                           lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
-  FROM (SELECT unnest(range(256)) AS b)),
-bytes AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
-         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b
-  FROM documents),
+  FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def _crc_sql(text: str) -> str:
+    """The checksum of a text, byte by byte, beside a row of ``entries``."""
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    step = "lambda c, v: xor(c // 256, t[(xor(c % 256, v) + 1)::BIGINT])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {values}), {step}), 4294967295)::BIGINT"
+
+
+OP10 = f"""
+WITH {_CRC_ENTRIES},
 summed AS (
-  SELECT doc_id, size::BIGINT AS size,
-         xor(list_reduce(list_concat([4294967295::BIGINT], b),
-                         lambda c, v: xor(c // 256, t[(xor(c % 256, v) + 1)::BIGINT])), 4294967295)::BIGINT AS text_crc32
-  FROM bytes, entries),
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents, entries),
 placed AS (
   SELECT *, sum(size) OVER () AS total,
          sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto,
@@ -147,4 +151,59 @@ FROM texts LEFT JOIN joined USING (k)
 
 OP11 = _secrets_sql()
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_dedup": OP5, "op10_sharding": OP10, "op11_secret_scan": OP11}
+#: One row at a time: every state keeps its cheapest and then least audit, with the lines that it gives.
+OP12 = f"""
+WITH RECURSIVE {_CRC_ENTRIES},
+spaced AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+           FROM conversations, entries),
+hurt AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy
+         FROM spaced WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+told AS (SELECT *, substr(role, 1, 1) AS r,
+                CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+         FROM placed),
+pairs AS (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM told),
+measured AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                    count(*) FILTER (fault = 'truncated') AS truncated,
+                    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+             FROM pairs GROUP BY conv_id),
+inserts(state, after, cost, word, lines) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+         (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']), (3, 2, 3, 'I', ['user:']),
+         (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+edits(after, letter, r, next, cost) AS (
+  VALUES (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4),
+         (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3),
+         (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0)),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM measured
+  UNION ALL
+  SELECT ways.conv_id, ways.i + 1, next,
+         min({{'cost': best.cost + inserts.cost + edits.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END,
+               'audit': best.audit || word || letter,
+               'lines': list_concat(best.lines, inserts.lines, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+                        ELSE [CASE next WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END)}})
+  FROM ways JOIN told ON ways.conv_id IS NOT DISTINCT FROM told.conv_id AND told.i = ways.i + 1
+       JOIN inserts USING (state) JOIN edits USING (after)
+  WHERE (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (letter <> 'K' OR edits.r = told.r)
+  GROUP BY ways.conv_id, ways.i, next),
+ended AS (SELECT ways.conv_id,
+                 min({{'cost': best.cost + CASE state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END,
+                       'audit': best.audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+                       'lines': list_concat(best.lines, CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)}}) AS best
+          FROM ways JOIN measured ON ways.conv_id IS NOT DISTINCT FROM measured.conv_id AND i = n GROUP BY ways.conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS ids
+LEFT JOIN measured ON ids.conv_id IS NOT DISTINCT FROM measured.conv_id
+LEFT JOIN ended ON ids.conv_id IS NOT DISTINCT FROM ended.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_dedup": OP5, "op10_sharding": OP10, "op11_secret_scan": OP11, "op12_conversation_repair": OP12}

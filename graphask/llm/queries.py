@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from graphask.llm import sharding
 from graphask.llm.columns import table
+from graphask.llm.conversation_repair import repair_digest
 from graphask.llm.decontaminate import leak_digest
 from graphask.llm.license_scan import scan_licenses
 from graphask.llm.masked_lm import score_documents
@@ -66,6 +67,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -78,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
     "op11_secret_scan": op11_secret_scan,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
