@@ -206,4 +206,29 @@ LEFT JOIN measured ON ids.conv_id IS NOT DISTINCT FROM measured.conv_id
 LEFT JOIN ended ON ids.conv_id IS NOT DISTINCT FROM ended.conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_dedup": OP5, "op10_sharding": OP10, "op11_secret_scan": OP11, "op12_conversation_repair": OP12}
+#: Words one edit apart by the words with one letter taken out.
+OP13 = f"""
+WITH RECURSIVE {_CRC_ENTRIES},
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents)
+         WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {_crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, entries),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                        ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT cut.word AS a, cut.n AS n_a, w.word AS b, w.n AS n_b FROM cut JOIN words AS w ON rest = w.word
+         UNION SELECT w.word, w.n, cut.word, cut.n FROM cut JOIN words AS w ON rest = w.word
+         UNION SELECT x.word, x.n, y.word, y.n FROM cut AS x JOIN cut AS y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+found AS (SELECT a AS word, count(*) AS n_near, min({{'less': -n_b, 'word': b}}) AS best FROM near GROUP BY a),
+formed AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near,
+                  CASE WHEN -best.less >= 10 * n THEN best.word END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+           FROM words LEFT JOIN found USING (word)),
+chain AS (SELECT word, word AS here, 0 AS steps FROM formed
+          UNION ALL SELECT chain.word, form, steps + 1 FROM chain JOIN formed ON here = formed.word WHERE form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(here, steps) FROM chain WHERE chain.word = formed.word) AS root, n, n_near, form_n::BIGINT AS form_n
+FROM formed
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_dedup": OP5, "op10_sharding": OP10, "op11_secret_scan": OP11, "op12_conversation_repair": OP12, "op13_spelling_variants": OP13}

@@ -19,6 +19,7 @@ from graphask.llm.quality_rules import quality_digest
 from graphask.llm.secret_scan import secret_digest
 from graphask.llm.simhash import simhash_digest
 from graphask.llm.soft_mixing import MIX_TARGETS, labelled_languages, mixing_rates
+from graphask.llm.spelling_variants import spelling_variants
 from graphask.llm.suffix_dedup import repeat_digest
 from graphask.llm.toxicity_fm import toxicity_digest
 
@@ -71,6 +72,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -84,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_secret_scan": op11_secret_scan,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
