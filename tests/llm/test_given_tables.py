@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables")
 
 def _duck(sf):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{sf}/{table}.parquet')")
     return connection
 
