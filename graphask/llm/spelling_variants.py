@@ -8,7 +8,8 @@ the one whose prefix ends earlier in the order has a pivot in the prefix of the
 at a place at most one further. On one side of that pivot the words are then equal, the
 edit being on the other side; the index is therefore joined by the pivot together with
 all that stands before it, or with all that stands behind it, which implies the limit on
-places. What is left is verified by its edit distance.
+places. Where the other side is long, one edit spares its first or its last letters, and
+these belong to the key too. What is left is verified by its edit distance.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ EDITS = 1
 GRAM = 2
 PREFIX = GRAM * EDITS + 1
 PIVOTS = EDITS + 1
+#: Letters at an end of a word's other side that belong to a key.
+ENDS = 2
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: After lower-casing there are 90 letters, so there are at most so many bigrams.
 MAX_GRAMS = 90 * 90
@@ -88,9 +91,20 @@ def pivots(places: Sequence[int], costs: Sequence[int], wanted: int = PIVOTS) ->
     return list(best[wanted][-1][1])
 
 
-def _sides(word: str, place: int) -> tuple[str, str]:
-    """A bigram with what stands before it, and with what stands behind it."""
-    return "<" + word[: place + GRAM], ">" + word[place:]
+def keys(word: str, place: int) -> list[str]:
+    """What a word one edit away has in common with ``word`` if the edit spares the bigram at ``place``.
+
+    The bigram with all on one side of it is equal, and of the other side the first or
+    the last letters. A side of up to twice ``ENDS`` letters is left out, as a letter
+    may be missing there.
+    """
+    out = []
+    for mark, equal, other in (("<", word[: place + GRAM], word[place + GRAM :]), (">", word[place:], word[:place])):
+        if len(other) <= 2 * ENDS:
+            out.append(f"{mark}{equal}")
+        if len(other) >= 2 * ENDS:
+            out += [f"{mark}{equal}{mark}{other[:ENDS]}", f"{mark}{equal}|{other[-ENDS:]}"]
+    return out
 
 
 def signatures(words: DataFrame) -> DataFrame:
@@ -101,13 +115,13 @@ def signatures(words: DataFrame) -> DataFrame:
         grams = prefix(word, order)
         places = sorted(i for _, i in grams)
         chosen = pivots(places, [order[word[i : i + GRAM]][1] for i in places])
-        return grams[-1][0], [k for i in chosen for k in _sides(word, i)], [k for i in places for k in _sides(word, i)]
+        return grams[-1][0], [k for i in chosen for k in keys(word, i)], [k for i in places for k in keys(word, i)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = pa.list_(pa.string())
+        lists = pa.list_(pa.string())
         for batch in batches:
             made = [of(word) for word in batch.column("word").to_pylist()]
-            new = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int32(), keys, keys))]
+            new = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int32(), lists, lists))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], ["word", "n", "last", "pivots", "grams"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, last int, pivots array<string>, grams array<string>")
@@ -117,8 +131,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """``a, b, n_a, n_b``: every two of the words ``word, n`` that are exactly one edit apart, once, ``a`` before ``b``."""
     signed = stored(signatures(words), "word-signatures")
     size = F.length("word").alias("size")
+    # A hash of the key travels; texts that share one by chance are verified like all others.
     owners = signed.select(F.explode("pivots").alias("key"), "word", "n", "last", size)
+    owners = owners.withColumn("key", F.xxhash64("key"))
     index = signed.select(F.explode("grams").alias("key"), *(F.col(c).alias(f"{c}_2") for c in ("word", "n", "last")), size.alias("size_2"))
+    index = index.withColumn("key", F.xxhash64("key"))
     # Of equal ends both words look in the other's prefix; one of the two is enough.
     looks = (F.col("last") < F.col("last_2")) | ((F.col("last") == F.col("last_2")) & (F.col("word") != F.col("word_2")))
     met = owners.join(index, "key").where(looks & (F.abs(F.col("size") - F.col("size_2")) <= EDITS))
