@@ -115,6 +115,8 @@ class _Block:
         self.twice = low < high
 
     def spans_of_buckets(self, owner: np.ndarray) -> Iterator[tuple[int, slice]]:
+        if not len(owner):
+            return
         found, first = np.unique(owner, return_index=True)
         for bucket, lo, hi in zip(found, first, [*first[1:], len(owner)], strict=True):
             yield int(bucket), slice(int(lo), int(hi))

@@ -9,10 +9,12 @@ from graphask.llm.license_scan import scan_licenses
 from graphask.llm.masked_lm import score_documents
 from graphask.llm.ordinal_quality import keep_good, quality_grades
 from graphask.llm.quality_rules import quality_digest
+from graphask.llm.secret_scan import secret_digest
 from graphask.llm.sharding import shard_digest
 from graphask.llm.simhash import one_of_each, simhash_digest
 from graphask.llm.soft_mixing import labelled_languages, mixed_without_loss, mixing_rates
-from graphask.llm.suffix_dedup import repeat_digest
+from graphask.llm.spelling_variants import spelling_variants
+from graphask.llm.suffix_dedup import remove_repeats, repeat_digest
 from graphask.llm.toxicity_fm import toxicity_digest
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree near the river bank"
@@ -67,8 +69,13 @@ PER_DOCUMENT = {
     "op8": lambda d, lab, b: mixing_rates(d, labelled_languages(d, lab), TARGETS),
     "op9": lambda d, lab, b: toxicity_digest(d, lab),
     "op10": lambda d, lab, b: shard_digest(d),
+    "op11": lambda d, lab, b: secret_digest(d),
+}
+SPARSE = {
+    "op3": lambda d, lab, b: leak_digest(d, b),
+    "op6": lambda d, lab, b: scan_licenses(d),
+    "op13": lambda d, lab, b: spelling_variants(d),
 }
-SPARSE = {"op3": lambda d, lab, b: leak_digest(d, b), "op6": lambda d, lab, b: scan_licenses(d)}
 FILTERS = {
     "good_quality": lambda d, lab, b: keep_good(d, lab),
     "near_duplicates": lambda d, lab, b: one_of_each(d),
@@ -121,6 +128,32 @@ def test_defined_results(docs, labels, benchmark):
     assert {r["size"] for r in placed if r["doc_id"] in (1, 2)} == {1} and {r["law"] for r in placed} == {"bytes"}
 
 
+CLEAN = {
+    "short": [(1, "short"), (2, "another")],
+    "null": [(1, None), (None, None)],
+    "one": [(1, "one short text")],
+    "empty": [(1, ""), (2, " ")],
+    "long": [(1, "abcdefgh " * 3 + PROSE), (2, PROSE[::-1])],
+    "spread": [(i, f"text number {i}") for i in range(40)],
+}
+
+
+@pytest.mark.parametrize("case", CLEAN)
+@pytest.mark.parametrize("name", [*PER_DOCUMENT, *SPARSE, *FILTERS])
+def test_tables_without_repeats_words_or_labels(spark, labels, benchmark, name, case):
+    rows = [_row(doc_id, text) for doc_id, text in CLEAN[case]]
+    table = spark.createDataFrame(rows, DOCS_SCHEMA)
+    got = {**PER_DOCUMENT, **SPARSE, **FILTERS}[name](table, labels, benchmark)
+    assert got.count() == len(rows) if name in PER_DOCUMENT else got.count() <= 2 * len(rows)
+
+
+def test_nothing_is_removed_without_repeats_in_many_blocks(spark):
+    table = spark.createDataFrame(CLEAN["spread"] + CLEAN["long"], "doc_id long, text string")
+    rows = remove_repeats(table, n_parts=7).collect()
+    assert len(rows) == 42 and all(r["spans"] == [] for r in rows)
+    assert sorted(r["kept"].decode() for r in rows) == sorted(t for _, t in CLEAN["spread"] + CLEAN["long"])
+
+
 def test_one_of_each_keeps_one_copy_and_rows_without_id(docs):
     ids = sorted(str(r["doc_id"]) for r in one_of_each(docs).collect())
     assert ids == sorted(["1", "4", "6", "7", "8", "None", "None"])
