@@ -139,5 +139,6 @@ def test_few_asks_stream_past_the_graph(spark, graph, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
-    scan = next(line for line in plan.splitlines() if "FileScan" in line and "nodes" in line)
-    assert "PartitionFilters: [isnotnull(label" in scan and "水产品" in scan
+    # The folder may be shortened in the plan, its filters are not.
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "PartitionFilters: [isnotnull(label" in line)
+    assert "水产品" in scan
