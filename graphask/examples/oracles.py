@@ -9,13 +9,13 @@ from graphask.examples.star_schema import (
     NODES_SQL,
     PHRASINGS_SQL,
     QUESTIONS_SQL,
-    RARE,
     SAMPLES_SQL,
     SHORT_PART,
     TABLES,
 )
 from graphask.functions.answers import ERROR_TEXT, NAME_SEPARATOR, NOT_FOUND_TEXT, TIPS_PREFIX
 from graphask.operators.graph import NAMES_PER_PART
+from graphask.operators.trees import BOOST_DEPTH, BOOST_RATE, BOOST_ROUNDS, LEAF_PULL, TREE_DEPTH
 from graphask.functions.text import FULL_WIDTH, HALF_WIDTH
 
 _HALF_SQL = HALF_WIDTH.replace("'", "''")
@@ -179,9 +179,6 @@ _CTES = {
     "document_vocabulary": """
         SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx
         FROM (SELECT DISTINCT word FROM document_counts)""",
-    "frequent_vocabulary": f"""
-        SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx FROM (
-          SELECT word FROM document_counts GROUP BY word HAVING count(*) * {RARE} >= (SELECT count(*) FROM documents))""",
     "document_hits": "SELECT doc_id, lang, idx, value FROM document_counts JOIN document_vocabulary USING (word)",
     "language_theta": f"""
         SELECT label, idx,
@@ -223,6 +220,92 @@ _CTES = {
 }
 
 
+def _tree_ctes(depth: int) -> dict[str, str]:
+    """A decision tree level by level: weights of the nodes, best splits, documents at their children."""
+    ctes = {
+        "tree_hits": "SELECT DISTINCT doc_id, idx FROM document_hits",
+        "tree_points_0": f"SELECT doc_id, lang AS label, {_TRAIN} AS train, CAST(1 AS BIGINT) AS node FROM documents",
+    }
+    for level in range(depth + 1):
+        points, totals, splits = f"tree_points_{level}", f"tree_totals_{level}", f"tree_splits_{level}"
+        ctes[totals] = f"SELECT node, label, count(*) AS t FROM {points} WHERE train GROUP BY ALL"
+        if level == depth:
+            break
+        ctes[splits] = f"""
+            SELECT node, idx FROM (
+              SELECT node, idx, round((n * ln(n) - s - n_in * ln(n_in) + s_in - (n - n_in) * ln(n - n_in)
+                                       + (s - t_in) + s_out) / n, 9) AS gain
+              FROM (SELECT node, idx, sum(c) AS n_in, sum(c * ln(c)) AS s_in, sum(t * ln(t)) AS t_in,
+                           sum(CASE WHEN t > c THEN (t - c) * ln(t - c) ELSE 0 END) AS s_out
+                    FROM (SELECT p.node, h.idx, p.label, count(*) AS c
+                          FROM {points} p JOIN tree_hits h USING (doc_id) WHERE p.train GROUP BY ALL)
+                    JOIN {totals} USING (node, label) GROUP BY node, idx)
+              JOIN (SELECT node, sum(t) AS n, sum(t * ln(t)) AS s FROM {totals} GROUP BY node) USING (node)
+              WHERE n > n_in)
+            WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, idx) = 1"""
+        ctes[f"tree_points_{level + 1}"] = f"""
+            SELECT p.doc_id, p.label, p.train, 2 * p.node + CASE WHEN h.idx IS NULL THEN 0 ELSE 1 END AS node
+            FROM {points} p JOIN {splits} s USING (node) LEFT JOIN tree_hits h ON h.doc_id = p.doc_id AND h.idx = s.idx"""
+    every = " UNION ALL ".join(f"SELECT *, {level} AS depth FROM tree_totals_{level}" for level in range(depth + 1))
+    asked = " UNION ALL ".join(f"SELECT node, idx FROM tree_splits_{level}" for level in range(depth))
+    walked = " UNION ALL ".join(f"SELECT doc_id, label, train, node FROM tree_points_{level}" for level in range(depth + 1))
+    ctes["tree_nodes"] = f"""
+        SELECT node, CAST(depth AS INTEGER) AS depth, idx, label AS prediction FROM ({every}) LEFT JOIN ({asked}) USING (node)
+        QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC, label) = 1"""
+    ctes["tree_predicted"] = f"""
+        SELECT doc_id, w.label, train, prediction
+        FROM (SELECT doc_id, label, train, max(node) AS node FROM ({walked}) GROUP BY ALL) w JOIN tree_nodes USING (node)"""
+    return ctes
+
+
+def _boost_ctes(rounds: int, depth: int, rate: float, pull: float) -> dict[str, str]:
+    """Trees on what each class lacks; a row for each document and class."""
+    ctes = {
+        "boost_rows_0": f"""
+            SELECT doc_id, lang AS own, {_TRAIN} AS train, k.label, CAST(0 AS DOUBLE) AS raw
+            FROM documents CROSS JOIN (SELECT DISTINCT lang AS label FROM documents WHERE {_TRAIN}) k"""
+    }
+    for r in range(rounds):
+        ctes[f"boost_lack_{r}"] = f"""
+            SELECT doc_id, own, train, label, raw,
+                   CASE WHEN own = label THEN 1 ELSE 0 END - exp(raw - top) / sum(exp(raw - top)) OVER (PARTITION BY doc_id) AS g
+            FROM (SELECT *, max(raw) OVER (PARTITION BY doc_id) AS top FROM boost_rows_{r})"""
+        ctes[f"boost_leaf_{r}_0"] = f"SELECT doc_id, label, train, g, 1 AS node FROM boost_lack_{r}"
+        for d in range(depth):
+            ctes[f"boost_best_{r}_{d}"] = f"""
+                SELECT label, node, idx FROM (
+                  SELECT label, node, idx, round(i.g * i.g / (i.n + {pull}) - t.g * t.g / (t.n + {pull})
+                         + (t.g - i.g) * (t.g - i.g) / (t.n - i.n + {pull}), 9) AS gain
+                  FROM (SELECT label, node, idx, sum(g) AS g, count(*) AS n FROM boost_leaf_{r}_{d} JOIN tree_hits USING (doc_id)
+                        WHERE train AND node >= {1 << d} GROUP BY ALL) i
+                  JOIN (SELECT label, node, sum(g) AS g, count(*) AS n FROM boost_leaf_{r}_{d} WHERE train GROUP BY ALL) t
+                    USING (label, node) WHERE t.n > i.n)
+                WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY label, node ORDER BY gain DESC, idx) = 1"""
+            ctes[f"boost_leaf_{r}_{d + 1}"] = f"""
+                SELECT l.doc_id, l.label, train, g,
+                       CASE WHEN b.idx IS NULL THEN l.node WHEN h.idx IS NULL THEN 2 * l.node ELSE 2 * l.node + 1 END AS node
+                FROM boost_leaf_{r}_{d} l LEFT JOIN boost_best_{r}_{d} b ON b.label = l.label AND b.node = l.node
+                LEFT JOIN tree_hits h ON h.doc_id = l.doc_id AND h.idx = b.idx"""
+        ctes[f"boost_rows_{r + 1}"] = f"""
+            SELECT doc_id, own, l.train, label, raw + coalesce({rate} * v.g / (v.n + {pull}), 0) AS raw
+            FROM boost_lack_{r} JOIN (SELECT doc_id, label, train, node FROM boost_leaf_{r}_{depth}) l USING (doc_id, label)
+            LEFT JOIN (SELECT label, node, sum(g) AS g, count(*) AS n FROM boost_leaf_{r}_{depth} WHERE train GROUP BY ALL) v
+              USING (label, node)"""
+    ctes["boost_predicted"] = f"""
+        SELECT doc_id, own AS label, train, label AS prediction FROM boost_rows_{rounds}
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9) DESC, label) = 1"""
+    return ctes
+
+
+_CTES |= _tree_ctes(TREE_DEPTH) | _boost_ctes(BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE, LEAF_PULL)
+
+
+def _measured(model: str, predicted: str) -> str:
+    return f"""
+        SELECT '{model}' AS model, count(*) AS n_test, round(avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+        FROM {predicted} WHERE NOT train"""
+
+
 def _with(body: str) -> str:
     """Put the sub-queries that ``body`` needs in front of it."""
     needed: set[str] = set()
@@ -234,7 +317,8 @@ def _with(body: str) -> str:
                 visit(_CTES[name])
 
     visit(body)
-    ctes = ",\n".join(f"{name} AS ({_CTES[name].strip()})" for name in _CTES if name in needed)
+    kept = {name: "MATERIALIZED " if name.startswith(("tree_", "boost_")) else "" for name in _CTES}
+    ctes = ",\n".join(f"{name} AS {kept[name]}({_CTES[name].strip()})" for name in _CTES if name in needed)
     return f"WITH RECURSIVE {ctes}\n{body.strip()}" if ctes else body.strip()
 
 
@@ -316,8 +400,8 @@ _BODIES = {
     "txt_analyze": "SELECT question_id, template_id, slot1, slot2, n_hits FROM analyzed",
     "feat_binary_bow": "SELECT doc_id, idx FROM document_hits",
     "feat_labeled_points": """
-        SELECT c.doc_id, l.quality AS label, h.idx, CAST(1 AS DOUBLE) AS value
-        FROM document_counts c JOIN frequent_vocabulary h USING (word) JOIN labels l ON l.doc_id = c.doc_id""",
+        SELECT h.doc_id, l.quality AS label, h.idx, CAST(1 AS DOUBLE) AS value
+        FROM document_hits h JOIN labels l USING (doc_id)""",
     "feat_vectors": """
         SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n_dims,
                CAST(len(list_filter(embedding, lambda v: v > 0)) AS INTEGER) AS n_positive,
@@ -343,6 +427,15 @@ _BODIES = {
     "ml_accuracy": f"""
         SELECT count(*) AS n_test, round(avg(CASE WHEN p.prediction = d.lang THEN 1.0 ELSE 0.0 END), 6) AS accuracy
         FROM documents d JOIN language_predicted p USING (doc_id) WHERE NOT ({_TRAIN})""",
+    "ml_decision_tree_nodes": "SELECT node, depth, idx, prediction FROM tree_nodes",
+    "ml_decision_tree_fit": _measured("decision_tree", "tree_predicted"),
+    "ml_boosted_fit": _measured("boosted", "boost_predicted"),
+    "ml_select_model": f"""
+        SELECT model, n_test, accuracy FROM (
+          SELECT 0 AS place, * FROM ({_measured("naive_bayes", f"(SELECT lang AS label, {_TRAIN} AS train, prediction FROM documents JOIN language_predicted USING (doc_id))")})
+          UNION ALL SELECT 1, * FROM ({_measured("decision_tree", "tree_predicted")})
+          UNION ALL SELECT 2, * FROM ({_measured("boosted", "boost_predicted")}))
+        ORDER BY accuracy DESC, place LIMIT 1""",
     "ml_template_lookup": "SELECT question_id, template_id, pattern FROM analyzed",
     "graph_node_scan": "SELECT name, label FROM nodes",
     "graph_property_lookup": """

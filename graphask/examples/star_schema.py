@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphask.functions import text as tx
-from graphask.operators.features import labeled_points, vocabulary_words
+from graphask.operators.features import feature_hits, labeled_points, vocabulary_words
 from graphask.operators.classifiers import fit_naive_bayes
 from graphask.operators.graph import Graph
 from graphask.operators.tagging import Lexicon
+from graphask.operators.trees import sparse_points
 from graphask.plans.answer_questions import QuestionEngine
 from graphask.plans import with_position
+from graphask.plans.lineage import stored
 from graphask.plans.catalog import INBOUND, PROPERTY, RECORD, Template, TemplateCatalog
 from graphask.sources import parse_dictionary, props_from_columns, union_dictionaries
 
@@ -84,8 +86,6 @@ SELECT question_id, gold_template, gold_name, replace(pattern, '<x>', gold_name)
 """
 
 CARD_CLAUSES = (("p1", " nation '%s'."), ("p2", " type '%s'."))
-#: A word of the vector form is in one document of so many at least.
-RARE = 20
 #: Names per part in the list queries, small enough that most lists come out in several parts.
 SHORT_PART = 5
 TAG_ORDER = ("tsupp", "tpart", "tnation", "tcust")
@@ -191,14 +191,12 @@ class StarSchema:
         return numbered.select(F.col("idx").cast("int").alias("idx"), "word")
 
     @cached_property
-    def frequent_words(self) -> list[str]:
-        """Words in at least one document of ``RARE`` for the vector form, which has a driver-side vocabulary;
-        there are at most ``RARE`` times the mean number of distinct words of a document, however many documents."""
-        n_documents = self.table("documents").count()
-        words = (
-            self.document_words.select(F.explode(F.array_distinct("words")).alias("word"))
-            .groupBy("word")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") * RARE >= n_documents)
-        )
-        return sorted(row["word"] for row in words.select("word").collect())
+    def document_hits(self) -> DataFrame:
+        """``doc_id, lang, idx``: the distinct words of every document, by number."""
+        return stored(feature_hits(self.document_words, self.document_vocabulary, "doc_id", carry=["lang"]), "document-hits")
+
+    @cached_property
+    def language_points(self) -> DataFrame:
+        """``doc_id, label, weight, idxs``: the language of every document and the numbers of all of its words."""
+        labelled = self.table("documents").select("doc_id", F.col("lang").alias("label"))
+        return stored(sparse_points(self.document_hits.select("doc_id", "idx"), labelled, "doc_id"), "language-points")

@@ -1,4 +1,4 @@
-"""Template classifiers on Spark ML: naive Bayes, decision tree, boosted trees.
+"""Template classifiers on vectors: naive Bayes and a decision tree of Spark ML, multi-class boosted trees.
 
 Scoring is one row in, one row out: no shuffle, no Python in the tasks.
 """
@@ -13,34 +13,29 @@ from typing import Any
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
-    GBTClassifier,
     NaiveBayes,
     NaiveBayesModel,
-    OneVsRest,
-    OneVsRestModel,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphask.operators.features import vectorize
+from graphask.operators import trees
 from graphask.operators.naive_bayes import MAX_CLASSES, class_counts
 from graphask.plans import broadcast_if_bounded
 
-# Hyper-parameters of the three classifiers.
+# Hyper-parameters of the classifiers; those of boosting are in ``trees``.
 SMOOTHING = 1.0
 TREE_IMPURITY = "entropy"
 TREE_MAX_DEPTH = 16
 TREE_MAX_BINS = 32
-BOOST_ITERATIONS = 10
-BOOST_RATE = 0.1
-BOOST_DEPTH = 5
 TRAIN_SHARE = 0.8
 
 _LOADERS = {
     "naive_bayes": NaiveBayesModel,
     "decision_tree": DecisionTreeClassificationModel,
-    "boosted": OneVsRestModel,
+    "boosted": trees.BoostedTrees,
 }
 
 
@@ -60,6 +55,12 @@ def split_by_key(df: DataFrame, key: str, share: float = TRAIN_SHARE) -> tuple[D
     return df.where(part), df.where(~part)
 
 
+def positions(features_col: str) -> Column:
+    """The sorted places of a vector that are not zero."""
+    marked = F.transform(vector_to_array(features_col), lambda v, i: F.when(v != 0, i))
+    return F.array_compact(marked)
+
+
 @dataclass(frozen=True)
 class TemplateClassifier:
     """A fitted model with the labels behind its dense class indexes and its vocabulary."""
@@ -72,28 +73,14 @@ class TemplateClassifier:
     def predict(self, df: DataFrame, features_col: str = "features") -> DataFrame:
         """Add ``prediction`` (a label) and ``probability`` (``array<double>`` in label order)."""
         labels = F.array(*[F.lit(label) for label in self.labels])
-        if isinstance(self.model, OneVsRestModel):
-            scored, probability = self._one_vs_rest(df, features_col)
-            index = F.array_position("probability", F.array_max("probability")) - 1
-        else:
-            scored = self.model.setFeaturesCol(features_col).setProbabilityCol("_posterior").transform(df)
-            probability = vector_to_array("_posterior")
-            index = F.col("prediction")
-        return scored.withColumn("probability", probability).select(
-            *df.columns, F.get(labels, index.cast("int")).alias("prediction"), "probability"
+        if isinstance(self.model, trees.BoostedTrees):
+            scored = self.model.predict(df.withColumn("idxs", positions(features_col)))
+            return scored.select(*df.columns, "prediction", "probability")
+        scored = self.model.setFeaturesCol(features_col).setProbabilityCol("_posterior").transform(df)
+        return scored.withColumn("probability", vector_to_array("_posterior")).select(
+            *df.columns, F.get(labels, F.col("prediction").cast("int")).alias("prediction"), "probability"
         )
 
-    def _one_vs_rest(self, df: DataFrame, features_col: str) -> tuple[DataFrame, Column]:
-        """The class ensembles side by side in the JVM; their probabilities are normalised."""
-        scored = df
-        for k, member in enumerate(self.model.models):
-            member.setFeaturesCol(features_col)
-            member.setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_vote{k}").setPredictionCol(f"_class{k}")
-            scored = member.transform(scored)
-        votes = F.array(*[F.get(vector_to_array(f"_vote{k}"), F.lit(1)) for k in range(len(self.labels))])
-        total = F.aggregate(votes, F.lit(0.0), lambda acc, vote: acc + vote)
-        return scored, F.transform(votes, lambda vote: vote / total)
-
     def score(self, df: DataFrame, words_col: str = "words") -> DataFrame:
         """Predict from word arrays; adds ``n_hits`` and ``max_probability`` next to the prediction."""
         scored = self.predict(vectorize(df, self.words, words_col))
@@ -139,10 +126,11 @@ def fit_decision_tree(points: DataFrame, words: Sequence[str], seed: int = 0) ->
     return _fit("decision_tree", estimator, points, words)
 
 
-def fit_boosted(points: DataFrame, words: Sequence[str], seed: int = 0, parallelism: int = 4) -> TemplateClassifier:
-    """Boosted trees, one binary ensemble per class."""
-    booster = GBTClassifier(maxIter=BOOST_ITERATIONS, stepSize=BOOST_RATE, maxDepth=BOOST_DEPTH, seed=seed)
-    return _fit("boosted", OneVsRest(classifier=booster, parallelism=parallelism), points, words)
+def fit_boosted(points: DataFrame, words: Sequence[str]) -> TemplateClassifier:
+    """Boosted trees, one ensemble for all classes on the gradients of the multi-class loss."""
+    weight = F.col("weight") if "weight" in points.columns else F.lit(1.0)
+    model = trees.fit_boosted(points.select("label", weight.alias("weight"), positions("features").alias("idxs")))
+    return TemplateClassifier("boosted", model, model.labels, list(words))
 
 
 FITTERS: dict[str, Callable[..., TemplateClassifier]] = {
