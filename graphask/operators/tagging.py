@@ -1,9 +1,10 @@
 """Dictionary matching: find the entries of a dictionary in texts of any length.
 
-Candidate n-grams are exploded next to the text key and joined to the
-dictionary. A dictionary within the broadcast limit is a map-side hash join; a
-larger one is a shuffle join with hot phrases salted. Only hits travel back to
-the text.
+Every token is exploded next to the text key, with the few tokens that the longest
+entry could need. Tokens that start no entry are dropped first; only the others grow
+into n-grams, of the lengths that entries with this first token have, and these are
+joined to the dictionary. Tables within the broadcast limit are map-side hash joins;
+larger ones are shuffle joins with hot keys salted. Only hits travel back to the text.
 """
 
 from __future__ import annotations
@@ -66,6 +67,13 @@ class Lexicon:
             *size_columns(table), F.sort_array(F.collect_set("n_tokens")).alias("lengths")
         ).first()
         self.lengths: list[int] = facts["lengths"] or [1]
+        first = F.substring_index("phrase", " ", 1).alias("first")
+        firsts = cut_lineage(
+            table.groupBy(first).agg(F.sort_array(F.collect_set("n_tokens")).alias("lengths"))
+        )
+        # Not larger than the table but for the lists, which hold at most the lengths there are.
+        size = firsts.agg(F.count(F.lit(1)), F.sum(F.octet_length("first") + 8 * F.size("lengths"))).first()
+        self.firsts, self.firsts_broadcast = broadcast_if_bounded(firsts, max_rows, max_bytes, Size(size[0], size[1] or 0))
         self.table, self.is_broadcast = broadcast_if_bounded(
             table.select("phrase", "word", "tag"),
             max_rows,
@@ -74,23 +82,39 @@ class Lexicon:
         )
 
 
+def _salted(rows: DataFrame, table: DataFrame, on: str, key: str) -> DataFrame:
+    counts = rows.groupBy(on).agg(F.count("*").alias("n"))
+    return salted_join(rows, table, [on], find_hot_keys(counts, [on]), key)
+
+
 def match_candidates(candidates: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
     if lexicon.is_broadcast:
         return candidates.join(lexicon.table, "phrase")
-    counts = candidates.groupBy("phrase").agg(F.count("*").alias("n"))
-    return salted_join(candidates, lexicon.table, ["phrase"], find_hot_keys(counts, ["phrase"]), key)
+    return _salted(candidates, lexicon.table, "phrase", key)
+
+
+def candidate_phrases(tokens: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
+    """``key, start, len, phrase``: the n-grams of ``tokens`` that begin like an entry and are as long as one."""
+    reach = max(lexicon.lengths)
+    each = F.transform(
+        "tokens",
+        lambda token, i: F.struct(token.alias("first"), F.slice("tokens", i + 1, F.lit(reach)).alias("ahead")),
+    )
+    starts = tokens.select(key, F.posexplode(each).alias("start", "at")).select(key, "start", "at.first", "at.ahead")
+    if lexicon.firsts_broadcast:
+        known = starts.join(lexicon.firsts, "first")
+    else:
+        known = _salted(starts, lexicon.firsts, "first", key)
+    grown = known.select(key, "start", "ahead", F.explode("lengths").alias("len")).where(F.size("ahead") >= F.col("len"))
+    phrase = F.array_join(F.slice("ahead", F.lit(1), F.col("len")), " ")
+    return grown.select(key, "start", "len", phrase.alias("phrase"))
 
 
 def find_mentions(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", text: str = "text") -> DataFrame:
     """All dictionary hits, overlaps included: ``key, start, len, word, tag``."""
     tokens = texts.select(key, tx.tokenize(F.col(text), lexicon.variants).alias("tokens"))
-    grams = tx.ngrams(F.col("tokens"), lexicon.lengths)
-    candidates = tokens.select(
-        key, F.size("tokens").alias("n_tokens"), F.posexplode(grams).alias("position", "phrase")
-    )
-    place = tx.ngram_place(F.col("position"), F.col("n_tokens"), lexicon.lengths)
-    hits = match_candidates(candidates, lexicon, key).withColumn("place", place)
-    return hits.select(key, "place.start", "place.len", "word", "tag")
+    hits = match_candidates(candidate_phrases(tokens, lexicon, key), lexicon, key)
+    return hits.select(key, "start", "len", "word", "tag")
 
 
 def match_spans(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", text: str = "text") -> DataFrame:

@@ -90,6 +90,31 @@ def test_shuffled_dictionary_with_hot_phrases(spark, random_case, monkeypatch):
         assert got[i] == brute_force(text.split(), lexicon)
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_rows": 0}], ids=["broadcast", "shuffled"])
+def test_tokens_that_start_no_entry_do_not_grow(spark, limits):
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(common, k=200)) for _ in range(20)] + ["w1 w2 w3 w1 w2", "", "w1"]
+    dictionary = [("w1 w2 w3", "t", 0, 0), ("w1", "t", 0, 0), ("w7 w8", "t", 0, 0)]
+    lexicon = Lexicon(spark.createDataFrame(dictionary, schemas.DICTIONARY), **limits)
+    questions = spark.createDataFrame(list(enumerate(texts)), schemas.QUESTIONS)
+    tokens = questions.select("question_id", F.split("text", " ").alias("tokens"))
+    grown = {tuple(r) for r in tagging.candidate_phrases(tokens, lexicon, "question_id").collect()}
+    lengths = {"w1": (1, 3), "w7": (2,)}
+    want = {
+        (i, at, k, " ".join(words[at : at + k]))
+        for i, words in enumerate(t.split(" ") for t in texts)
+        for at, word in enumerate(words)
+        for k in lengths.get(word, ())
+        if at + k <= len(words)
+    }
+    every = sum(max(0, len(t.split(" ")) - k + 1) for t in texts for k in (1, 2, 3))
+    assert grown == want and 10 * len(grown) < every
+    hits = tagging.find_mentions(questions, lexicon).select("question_id", "start", "len").collect()
+    phrases = {w for w, *_ in dictionary}
+    assert {tuple(r) for r in hits} == {(i, at, k) for i, at, k, phrase in want if phrase in phrases}
+
+
 def test_unrelated_words_and_partitioning_change_nothing(spark):
     texts = [f"who sells a b to c{i}" for i in range(40)]
     base = [("a b", "t", 0, 0)]
