@@ -112,6 +112,57 @@ def leftmost_longest(hits: Column) -> Column:
     return F.when(F.size(hits) == 1, hits).otherwise(kept)
 
 
+def cheapest_path(hits: Column, other_cost: float) -> Column:
+    """Non-overlapping hits whose costs, with ``other_cost`` for every token outside of them, are least in sum.
+
+    ``hits`` is ``array<struct<start, neg_len, len, word, tag, cost>>``, sorted. The fold
+    keeps the cheapest way to each end still ahead and one way to where the next hit
+    starts. Where no hit overlaps the next one the way so far is settled, so the work is
+    linear in the text and quadratic only in a chain of overlapping hits.
+    """
+    none = F.slice(hits, 1, 0)
+    no_blocks = F.slice(F.array(hits), 1, 0)
+
+    def way(end: Column, cost: Column, path: Column) -> Column:
+        return F.struct(end.cast("int").alias("end"), cost.cast("double").alias("cost"), path.alias("path"))
+
+    def cheapest(ways: Column, at: Column) -> Column:
+        there = F.transform(ways, lambda w: F.struct((w["cost"] + other_cost * (at - w["end"])).alias("cost"), w["path"].alias("path")))
+        return F.array_min(there)
+
+    def settle(state: Column, path: Column) -> tuple[Column, Column]:
+        block = F.concat(state["block"], path)
+        full = F.size(block) >= _FOLD_BLOCK
+        blocks = F.when(full, F.concat(state["blocks"], F.array(block))).otherwise(state["blocks"])
+        return blocks, F.when(full, none).otherwise(block)
+
+    def step(state: Column, hit: Column) -> Column:
+        start, end = hit["start"], hit["start"] + hit["len"]
+        ahead = F.filter(state["ways"], lambda w: w["end"] > start)
+        # A list of one, so that what is computed once is used several times.
+        base = F.array(cheapest(F.filter(state["ways"], lambda w: w["end"] <= start), start))
+        closed = F.size(ahead) == 0
+        blocks, block = settle(state, F.get(base, F.lit(0))["path"])
+        here = F.transform(base, lambda b: way(start, F.when(closed, 0.0).otherwise(b["cost"]), F.when(closed, none).otherwise(b["path"])))
+        longer = F.transform(here, lambda w: way(end, w["cost"] + hit["cost"], F.concat(w["path"], F.array(hit))))
+        new_cost = F.get(longer, F.lit(0))["cost"]
+        kept = F.filter(ahead, lambda w: (w["end"] != end) | (w["cost"] <= new_cost))
+        added = F.when(F.exists(kept, lambda w: w["end"] == end), F.slice(longer, 1, 0)).otherwise(longer)
+        return F.struct(
+            F.when(closed, blocks).otherwise(state["blocks"]).alias("blocks"),
+            F.when(closed, block).otherwise(state["block"]).alias("block"),
+            F.concat(here, kept, added).alias("ways"),
+        )
+
+    def finish(state: Column) -> Column:
+        furthest = F.array_max(F.transform(state["ways"], lambda w: w["end"]))
+        return F.concat(F.flatten(state["blocks"]), state["block"], cheapest(state["ways"], furthest)["path"])
+
+    first = F.array(way(F.lit(0), F.lit(0.0), none))
+    start = F.struct(no_blocks.alias("blocks"), none.alias("block"), first.alias("ways"))
+    return F.aggregate(hits, start, step, finish)
+
+
 def _end_of(span: Column) -> Column:
     return F.coalesce(span["start"] + span["len"], F.lit(0))
 

@@ -9,6 +9,7 @@ larger ones are shuffle joins with hot keys salted. Only hits travel back to the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,16 +43,24 @@ def build_lexicon(
         entries = entries.unionByName(words)
     keyed = entries.withColumn("phrase", tx.phrase_key(F.col("word"), variants)).where(F.col("phrase") != "")
     first = F.min(F.struct("load_order", "tag", "word")).alias("first")
-    return keyed.groupBy("phrase").agg(first).select(
+    freq = F.max(F.coalesce("freq", F.lit(0))).cast("long").alias("freq")
+    return keyed.groupBy("phrase").agg(first, freq).select(
         "phrase",
         F.size(F.split("phrase", " ")).alias("n_tokens"),
         "first.word",
         "first.tag",
+        "freq",
     )
 
 
 class Lexicon:
-    """A match table, materialised once, with its measured facts: phrase lengths and size."""
+    """A match table, materialised once, with its measured facts: phrase lengths and size.
+
+    Overlapping hits are settled leftmost and longest, or ``by_frequency``: each entry
+    costs the negative logarithm of its share of all frequencies (one added to each),
+    each other token as much as an entry of frequency 0, and the cheapest way through a
+    text counts.
+    """
 
     def __init__(
         self,
@@ -60,12 +69,18 @@ class Lexicon:
         variants: tuple[str, str] = NO_VARIANTS,
         max_rows: int = MAX_BROADCAST_ROWS,
         max_bytes: int = MAX_BROADCAST_BYTES,
+        by_frequency: bool = False,
     ) -> None:
         self.variants = variants
+        self.by_frequency = by_frequency
         table = cut_lineage(build_lexicon(dictionary, vocabulary, variants))
         facts = table.agg(
-            *size_columns(table), F.sort_array(F.collect_set("n_tokens")).alias("lengths")
+            *size_columns(table),
+            F.sort_array(F.collect_set("n_tokens")).alias("lengths"),
+            F.sum(F.col("freq") + 1).alias("mass"),
         ).first()
+        self.other_cost = math.log(facts["mass"] or 1)
+        cost = F.lit(self.other_cost) - F.log(F.col("freq") + 1.0)
         self.lengths: list[int] = facts["lengths"] or [1]
         first = F.substring_index("phrase", " ", 1).alias("first")
         firsts = cut_lineage(
@@ -75,12 +90,17 @@ class Lexicon:
         size = firsts.agg(F.count(F.lit(1)), F.sum(F.octet_length("first") + 8 * F.size("lengths"))).first()
         self.firsts, self.firsts_broadcast = broadcast_if_bounded(firsts, max_rows, max_bytes, Size(size[0], size[1] or 0))
         self.table, self.is_broadcast = broadcast_if_bounded(
-            table.select("phrase", "word", "tag"),
+            table.select("phrase", "word", "tag", *([cost.alias("cost")] if by_frequency else [])),
             max_rows,
             max_bytes,
             Size(facts["rows"], facts["bytes"]),
         )
 
+    @property
+    def facts(self) -> list[str]:
+        """What a hit carries of its entry."""
+        return ["word", "tag", "cost"] if self.by_frequency else ["word", "tag"]
+
 
 def _salted(rows: DataFrame, table: DataFrame, on: str, key: str) -> DataFrame:
     counts = rows.groupBy(on).agg(F.count("*").alias("n"))
@@ -111,10 +131,10 @@ def candidate_phrases(tokens: DataFrame, lexicon: Lexicon, key: str) -> DataFram
 
 
 def find_mentions(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", text: str = "text") -> DataFrame:
-    """All dictionary hits, overlaps included: ``key, start, len, word, tag``."""
+    """All dictionary hits, overlaps included: ``key, start, len, word, tag``, and ``cost`` where frequencies count."""
     tokens = texts.select(key, tx.tokenize(F.col(text), lexicon.variants).alias("tokens"))
     hits = match_candidates(candidate_phrases(tokens, lexicon, key), lexicon, key)
-    return hits.select(key, "start", "len", "word", "tag")
+    return hits.select(key, "start", "len", *lexicon.facts)
 
 
 def match_spans(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", text: str = "text") -> DataFrame:
@@ -125,11 +145,12 @@ def match_spans(texts: DataFrame, lexicon: Lexicon, key: str = "question_id", te
     for a table that is bucketed by ``key``.
     """
     hits = find_mentions(texts, lexicon, key, text)
-    hit = F.struct("start", (-F.col("len")).alias("neg_len"), "len", "word", "tag")
+    hit = F.struct("start", (-F.col("len")).alias("neg_len"), "len", *lexicon.facts)
+    settled = tx.cheapest_path(F.col("hits"), lexicon.other_cost) if lexicon.by_frequency else tx.leftmost_longest(F.col("hits"))
     spans = (
         hits.groupBy(key)
         .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-        .select(key, tx.leftmost_longest(F.col("hits")).alias("spans"))
+        .select(key, settled.alias("spans"))
     )
     no_spans = F.from_json(F.lit("[]"), spans.schema["spans"].dataType.simpleString())
     return texts.join(spans, key, "left").withColumns({
