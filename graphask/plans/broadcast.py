@@ -21,18 +21,37 @@ class Size(NamedTuple):
         return self.rows <= max_rows and self.bytes <= max_bytes
 
 
-def _row_bytes(df: DataFrame):
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, with all that lists, maps and structs hold."""
+    nothing = F.lit(0).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value).cast("long"), nothing)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+            held = F.array_size(value).cast("long") * _FIXED_WIDTH
+        else:
+            held = F.aggregate(value, nothing, lambda sum_, item: sum_ + _bytes_of(item, kind.elementType))
+        return F.coalesce(held, nothing)
+    if isinstance(kind, T.MapType):
+        keys = _bytes_of(F.map_keys(value), T.ArrayType(kind.keyType))
+        return keys + _bytes_of(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        width = nothing
+        for field in kind.fields:
+            width = width + _bytes_of(value[field.name], field.dataType)
+        return width
+    return F.lit(_FIXED_WIDTH).cast("long")
+
+
+def _row_bytes(df: DataFrame) -> Column:
     width = F.lit(0).cast("long")
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        else:
-            width = width + F.lit(_FIXED_WIDTH)
+        width = width + _bytes_of(F.col(f"`{field.name}`"), field.dataType)
     return width
 
 
 def size_columns(df: DataFrame) -> list[Column]:
-    """Aggregates ``rows`` and ``bytes`` (payload of a flat table)."""
+    """Aggregates ``rows`` and ``bytes`` (the payload, nested values included)."""
     return [
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("bytes"),
@@ -40,7 +59,7 @@ def size_columns(df: DataFrame) -> list[Column]:
 
 
 def measure(df: DataFrame) -> Size:
-    """Size of a flat table, in one distributed aggregate."""
+    """Size of a table, in one distributed aggregate."""
     row = df.agg(*size_columns(df)).first()
     return Size(row["rows"], row["bytes"])
 

@@ -82,3 +82,14 @@ def test_checkpoints_go_to_the_folder_of_the_session(spark, sides):
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
     assert "Range" not in cut._jdf.queryExecution().executedPlan().toString()
     assert cut.count() == 51
+
+
+def test_lists_maps_and_structs_are_measured(spark):
+    rows = spark.range(10).select(
+        F.array_repeat(F.lit(0.5), 1000).alias("numbers"),
+        F.array(F.lit("abc"), F.lit(None).cast("string")).alias("words"),
+        F.create_map(F.lit("k"), F.lit(1)).alias("pairs"),
+        F.struct(F.lit("xy").alias("s"), F.lit(1).alias("n")).alias("both"),
+        F.lit(None).cast("array<double>").alias("none"),
+    )
+    assert measure(rows) == (10, 10 * (8000 + 3 + 1 + 8 + 2 + 8))
