@@ -128,8 +128,11 @@ def inbound_neighbors(
     names = graph.nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("source_name"))
     sources, few = broadcast_if_bounded(reached.select("src_id").distinct())
     if few:
-        # The names of few sources are few rows too: node ids are distinct.
-        named = reached.join(F.broadcast(names.join(sources, "src_id", "left_semi")), "src_id")
+        # The names of few sources are few rows too, node ids being distinct, but their bytes are measured as well.
+        names = cut_lineage(names.join(sources, "src_id", "left_semi"))
+        names, few = broadcast_if_bounded(names)
+    if few:
+        named = reached.join(names, "src_id")
     else:
         named = salted_join(reached, names, ["src_id"], graph.hot_sources, "dst_id")
     return named.select(*keys, "src_id", "dst_id", "source_name")
