@@ -44,10 +44,15 @@ def bare(words: Words) -> Words:
     data = _LOWER[words.data]
     accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     data[accented] += 32
+    marked = np.flatnonzero(_PUNCTUATION[data[words.start]] | _PUNCTUATION[data[words.end - 1]])
     start, end = words.start.copy(), words.end.copy()
-    for _ in range(8):
-        start += (start < end) & _PUNCTUATION[data[np.minimum(start, len(data) - 1)]]
-        end -= (end > start) & _PUNCTUATION[data[np.maximum(end - 1, 0)]]
+    if len(marked):
+        # Places of the bytes that are no marks, closed by one beyond the text.
+        letters = np.r_[np.flatnonzero(~_PUNCTUATION[data]), len(data)]
+        start[marked] = letters[np.searchsorted(letters, words.start[marked])]
+        end[marked] = np.where(
+            start[marked] < words.end[marked], letters[np.searchsorted(letters, words.end[marked]) - 1] + 1, start[marked]
+        )
     real = end > start
     return Words(data, start[real], end[real], words.doc[real], words.first, words.n_docs)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 #: Rows that travel to a Python worker at a time where the session has not chosen a number: texts may be long.
@@ -58,15 +59,18 @@ class Words:
     first: int
     n_docs: int
 
-    def hashes(self, data: np.ndarray | None = None, longest: int = 48) -> np.ndarray:
-        """A hash of each word from its first ``longest`` bytes and its length."""
+    def hashes(self, data: np.ndarray | None = None, together: int = 48) -> np.ndarray:
+        """A hash of all bytes of each word; those after the first ``together`` are hashed word by word."""
         data = self.data if data is None else data
         size = self.end - self.start
         hashed = size.astype(np.uint64) * _ODD
         live = np.arange(len(size))
-        for i in range(min(longest, int(size.max(initial=0)))):
+        for i in range(min(together, int(size.max(initial=0)))):
             live = live[size[live] > i]
             hashed[live] = (hashed[live] ^ data[self.start[live] + i]) * _MIX + np.uint64(i + 1)
+        for at in np.flatnonzero(size > together):
+            rest = data[self.start[at] + together : self.end[at]].tobytes()
+            hashed[at] ^= np.uint64(xxhash.xxh64_intdigest(rest))
         return mixed(hashed)
 
 

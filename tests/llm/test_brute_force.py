@@ -12,7 +12,7 @@ from xxhash import xxh64_intdigest
 import corpus_pipeline
 from graphask.llm.components import components
 from graphask.llm.decontaminate import find_leaks
-from graphask.llm.license_scan import scan
+from graphask.llm.license_scan import closest, scan, templates
 from graphask.llm.masked_lm import OFFSETS, VOCABULARY, Network, Vocabulary, contexts, fit_network, fit_vocabulary, score_documents
 from graphask.llm.ordinal_quality import OrdinalModel
 from graphask.llm.sharding import shards
@@ -196,6 +196,61 @@ def test_reworded_notice_counts_its_differences():
     assert (match.license, match.words_different) == ("GPL-3.0", 2)
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("All source files in this repository and its submodules are licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("This file is distributed under the terms of the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("This is free and unencumbered software released into the\n# public domain.", "Unlicense"),
+        (
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+            "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "GPL-2.0",
+        ),
+    ],
+)
+def test_notices_in_other_places_and_long_forms(text, name):
+    (match,) = scan("Words before it. " * 200 + text + " And words after it." * 200)
+    assert (match.license, match.words_different) == (name, 0)
+
+
+def test_every_template_is_found_in_prose_across_lines_and_with_a_changed_word():
+    prose = "the quick brown fox and a lazy dog went over to see that river in may of this year while we use it".split()
+    rng, right, tried = random.Random(0), 0, 0
+    for template in templates():
+        for changed in (False, True):
+            words = list(template.words)
+            if changed:
+                words[rng.choice([i for i, w in enumerate(words) if w not in template.required])] = rng.choice(prose)
+            around = [[rng.choice(prose) for _ in range(rng.randrange(60))] for _ in range(2)]
+            text = "".join(w + rng.choice([" ", " ", "\n", "\n * "]) for w in (*around[0], *words, *around[1]))
+            names = [m.license for m in scan(text)]
+            assert names in ([], [template.license])
+            right, tried = right + bool(names), tried + 1
+    assert right >= 0.9 * tried
+
+
+def test_closest_run_is_the_best_of_all_runs():
+    rng = random.Random(1)
+
+    def differences(a, b):
+        table = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] if x == y else 1 + min(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    for _ in range(300):
+        template, found = rng.choices("abc", k=rng.randrange(1, 6)), rng.choices("abcd", k=rng.randrange(1, 8))
+        cover = rng.choice([None, rng.randrange(len(found))])
+        runs = [(i, j) for i in range(len(found) + 1) for j in range(i, len(found) + 1) if cover is None or i <= cover < j]
+        cost, start, end = closest(template, found, cover)
+        least = min(differences(template, found[i:j]) for i, j in runs)
+        longest = max(j - i for i, j in runs if differences(template, found[i:j]) == least)
+        assert (cost, end - start) == (least, longest)
+        assert differences(template, found[start:end]) == cost
+
+
 def test_masked_likelihood_is_that_of_the_formula(spark):
     rng = np.random.default_rng(0)
     vocabulary = Vocabulary(np.zeros(0, np.uint64))
