@@ -163,8 +163,8 @@ def closest(template: list[str], found: list[str], cover: int | None = None) ->
     size = len(found)
     # Costs and, below them, where the run starts, as one number.
     unit = size + 1
-    never = unit * (len(template) + size + 1)
-    row = [j if cover is None or j <= cover else never for j in range(size + 1)]
+    last_start = size if cover is None else cover
+    row = [min(j, last_start) + unit * max(j - last_start, 0) for j in range(size + 1)]
     for word in template:
         above, row = row, [row[0] + unit]
         for j, other in enumerate(found):
