@@ -379,6 +379,31 @@ _BODIES = {
         UNION ALL
         SELECT c_name, arg_min(c_mktsegment, c_custkey), 7, min(c_custkey) FROM customer
         WHERE c_name NOT IN (SELECT p_name FROM part) GROUP BY c_name""",
+    "dict_stream": """
+        WITH v1 AS (
+          SELECT p_name AS word,
+                 coalesce(arg_max(p_brand, p_partkey) FILTER (WHERE p_type NOT IN ('PROMO', 'LARGE')),
+                          arg_min(p_type, p_partkey)) AS tag,
+                 CAST(arg_max(CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 0 ELSE p_size END, p_partkey) AS INTEGER) AS freq,
+                 min(p_partkey) AS load_order
+          FROM part GROUP BY p_name)
+        SELECT *, CAST(1 AS INTEGER) AS version FROM v1
+        UNION ALL SELECT *, 2 FROM v1
+        UNION ALL
+        SELECT c_name, arg_min(c_mktsegment, c_custkey), 7, min(c_custkey), 2 FROM customer
+        WHERE c_name NOT IN (SELECT p_name FROM part) GROUP BY c_name""",
+    "txt_convert_phrases": """
+        WITH conversion AS (
+          SELECT s_name AS source, 's' || s_suppkey AS target FROM supplier
+          UNION ALL
+          SELECT n_name, n_name || ' of ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+        pattern AS (
+          SELECT '(?s)' || string_agg(regexp_escape(source), '|' ORDER BY length(source) DESC) || '|.' AS any_of FROM conversion),
+        pieces AS (
+          SELECT question_id, unnest(found) AS piece, generate_subscripts(found, 1) AS at
+          FROM (SELECT question_id, regexp_extract_all(text, any_of) AS found FROM questions, pattern))
+        SELECT question_id, string_agg(coalesce(target, piece), '' ORDER BY at) AS text
+        FROM pieces LEFT JOIN conversion ON source = piece GROUP BY question_id""",
     "txt_normalize": f"""
         SELECT 'document' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS turn, md5({_normal('text')}) AS digest FROM documents
         UNION ALL SELECT 'conversation', conv_id, turn, md5({_normal('text')}) FROM conversations""",

@@ -16,6 +16,7 @@ from graphask.operators import dictionary as di
 from graphask.operators import graph as gr
 from graphask.operators import naive_bayes as nb
 from graphask.operators import trees as tr
+from graphask.operators.conversion import ConversionTable, convert_phrases
 from graphask.operators.features import feature_hits
 from graphask.operators.tagging import explode_terms, highest_tag, last_mentions, tag_entities
 from graphask.plans import cut_lineage, scratch_dir
@@ -35,7 +36,7 @@ from graphask.sources import (
     write_edges,
     write_nodes,
 )
-from graphask.streaming import answer_stream
+from graphask.streaming import DictionaryVersions, answer_stream, update_dictionary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,8 +183,7 @@ def dict_add(star: StarSchema) -> DataFrame:
     return di.add_words(existing, union_dictionaries([_part_entries(star, "p_brand"), suppliers]))
 
 
-@query
-def dict_upsert(star: StarSchema) -> DataFrame:
+def _updates(star: StarSchema) -> tuple[DataFrame, DataFrame]:
     parts = star.table("part").select(
         F.col("p_name").alias("word"), _attribute().alias("attr"), F.col("p_partkey").alias("load_order")
     )
@@ -192,9 +192,28 @@ def dict_upsert(star: StarSchema) -> DataFrame:
         F.concat(F.col("c_mktsegment"), F.lit(" 7")).alias("attr"),
         F.col("c_custkey").alias("load_order"),
     )
+    return parts, customers
+
+
+@query
+def dict_upsert(star: StarSchema) -> DataFrame:
+    parts, customers = _updates(star)
     return di.upsert_words(_part_entries(star, "p_type"), parts.unionByName(customers))
 
 
+@query
+def dict_stream(star: StarSchema) -> DataFrame:
+    """The dictionary after each of two batches of updates that arrive on a stream."""
+    base = scratch_dir(star.spark, "dictionary-stream")
+    versions = DictionaryVersions.create(_part_entries(star, "p_type"), f"{base}/versions")
+    for arriving in _updates(star):
+        arriving.write.mode("append").parquet(f"{base}/in")
+        updates = star.spark.readStream.schema(arriving.schema).parquet(f"{base}/in")
+        update_dictionary(updates, versions, f"{base}/state", available_now=True).awaitTermination()
+    first, second = (versions.read(v).withColumn("version", F.lit(v)) for v in (1, versions.latest()))
+    return first.unionByName(second)
+
+
 # --- text ---
 
 
@@ -211,6 +230,20 @@ def txt_normalize(star: StarSchema) -> DataFrame:
     )
 
 
+@query
+def txt_convert_phrases(star: StarSchema) -> DataFrame:
+    """Suppliers and nations in the questions, written by their numbers and regions."""
+    suppliers = star.table("supplier").select(
+        F.col("s_name").alias("source"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("target"), F.col("s_suppkey").cast("long").alias("load_order")
+    )
+    nations = star.table("nation").join(star.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("source"),
+        F.concat_ws(" of ", "n_name", "r_name").alias("target"),
+        F.col("n_nationkey").cast("long").alias("load_order"),
+    )
+    return convert_phrases(star.questions, ConversionTable(suppliers.unionByName(nations)))
+
+
 @query
 def txt_tokenize(star: StarSchema) -> DataFrame:
     return star.document_words.select(

@@ -73,6 +73,8 @@ class Lexicon:
     ) -> None:
         self.variants = variants
         self.by_frequency = by_frequency
+        self.vocabulary = vocabulary
+        self._limits = max_rows, max_bytes
         table = cut_lineage(build_lexicon(dictionary, vocabulary, variants))
         facts = table.agg(
             *size_columns(table),
@@ -96,6 +98,10 @@ class Lexicon:
             Size(facts["rows"], facts["bytes"]),
         )
 
+    def with_dictionary(self, dictionary: DataFrame) -> Lexicon:
+        """The match table of another dictionary, with the same vocabulary and settings."""
+        return Lexicon(dictionary, self.vocabulary, self.variants, *self._limits, self.by_frequency)
+
     @property
     def facts(self) -> list[str]:
         """What a hit carries of its entry."""

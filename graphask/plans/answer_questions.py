@@ -6,7 +6,7 @@ many questions share it; the answers then travel back with hot asks salted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,10 @@ class QuestionEngine:
     names_per_part: int = NAMES_PER_PART
     rows_per_task: int = ROWS_PER_TASK
 
+    def with_dictionary(self, dictionary: DataFrame) -> QuestionEngine:
+        """The same engine with other entities; its classifier knows only their tags, so it stays as trained."""
+        return replace(self, lexicon=self.lexicon.with_dictionary(dictionary))
+
     def analyze(self, questions: DataFrame) -> DataFrame:
         """``question_id, template_id, pattern, slot1, slot2, slot_name, has_slot, well_formed, n_hits,
         max_probability``; columns that are not used further on are not computed."""

@@ -1,5 +1,6 @@
 """Structured Streaming jobs."""
 
 from graphask.streaming.answer_stream import answer_stream
+from graphask.streaming.dictionary_versions import DictionaryVersions, update_dictionary
 
-__all__ = ["answer_stream"]
+__all__ = ["DictionaryVersions", "answer_stream", "update_dictionary"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from graphask.plans.answer_questions import QuestionEngine
+from graphask.streaming.dictionary_versions import DictionaryVersions
 
 
 def answer_stream(
@@ -15,16 +16,29 @@ def answer_stream(
     checkpoint: str,
     available_now: bool = False,
     interval: str = "10 seconds",
+    versions: DictionaryVersions | None = None,
 ) -> StreamingQuery:
     """Write the answers of each micro-batch to its own partition of ``path``.
 
     A replayed batch overwrites its partition, so every question is answered
     exactly once. The engine is trained before the stream starts and shared by
-    all batches; nothing is kept between batches.
+    all batches. With ``versions`` each batch is tagged by the newest dictionary, whose
+    number is written down first, so a replayed batch is tagged as it was; the lexicon
+    is built again only when the number changes.
     """
+    current: dict[int, QuestionEngine] = {}
+
+    def engine_for(batch_id: int) -> QuestionEngine:
+        if versions is None:
+            return engine
+        version = versions.pinned(f"{checkpoint}/dictionary-versions", batch_id)
+        if version not in current:
+            current.clear()
+            current[version] = engine.with_dictionary(versions.read(version))
+        return current[version]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        engine.answer(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        engine_for(batch_id).answer(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = questions.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
