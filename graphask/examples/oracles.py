@@ -22,6 +22,12 @@ _HALF_SQL = HALF_WIDTH.replace("'", "''")
 _TRAIN = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) < 'cccccccc'"
 
 
+_CONVERSION = """
+          SELECT s_name AS source, 's' || s_suppkey AS target FROM supplier
+          UNION ALL
+          SELECT n_name, n_name || ' of ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey"""
+
+
 def _normal(text: str) -> str:
     return f"lower(translate({text}, '{FULL_WIDTH}', '{_HALF_SQL}'))"
 
@@ -392,18 +398,14 @@ _BODIES = {
         UNION ALL
         SELECT c_name, arg_min(c_mktsegment, c_custkey), 7, min(c_custkey), 2 FROM customer
         WHERE c_name NOT IN (SELECT p_name FROM part) GROUP BY c_name""",
-    "txt_convert_phrases": """
-        WITH conversion AS (
-          SELECT s_name AS source, 's' || s_suppkey AS target FROM supplier
-          UNION ALL
-          SELECT n_name, n_name || ' of ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
-        pattern AS (
-          SELECT '(?s)' || string_agg(regexp_escape(source), '|' ORDER BY length(source) DESC) || '|.' AS any_of FROM conversion),
-        pieces AS (
-          SELECT question_id, unnest(found) AS piece, generate_subscripts(found, 1) AS at
-          FROM (SELECT question_id, regexp_extract_all(text, any_of) AS found FROM questions, pattern))
-        SELECT question_id, string_agg(coalesce(target, piece), '' ORDER BY at) AS text
-        FROM pieces LEFT JOIN conversion ON source = piece GROUP BY question_id""",
+    "txt_convert_phrases": f"""
+        SELECT question_id, string_agg(coalesce(target, piece), '' ORDER BY place) AS text
+        FROM (SELECT question_id, unnest(found) AS piece, generate_subscripts(found, 1) AS place
+              FROM (SELECT question_id, regexp_extract_all(text, any_of) AS found
+                    FROM questions,
+                         (SELECT '(?s)' || string_agg(regexp_escape(source), '|' ORDER BY length(source) DESC) || '|.' AS any_of
+                          FROM ({_CONVERSION}))))
+        LEFT JOIN ({_CONVERSION}) ON source = piece GROUP BY question_id""",
     "txt_normalize": f"""
         SELECT 'document' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS turn, md5({_normal('text')}) AS digest FROM documents
         UNION ALL SELECT 'conversation', conv_id, turn, md5({_normal('text')}) FROM conversations""",
@@ -472,6 +474,9 @@ _BODIES = {
     "graph_inbound_neighbors": """
         SELECT i.rel, i.label, i.name, i.src_id, i.source_name
         FROM targets t JOIN inbound i ON i.rel = t.rel AND i.label = t.label AND i.name = t.name""",
+    "graph_clustered": """
+        SELECT i.rel, i.label, i.name, i.src_id, i.source_name
+        FROM targets t JOIN inbound i ON i.rel = t.rel AND i.label = t.label AND i.name = t.name""",
     "graph_neighbor_lists": f"""
         SELECT rel, label, name, part_no, n_parts, n_names, names
         FROM ({_parts('rel, label, name', 'source_name', ',', SHORT_PART, _REACHED)})""",

@@ -27,12 +27,14 @@ from graphask.sources import (
     parse_templates,
     parse_vocabulary,
     read_answers,
+    read_clustered_graph,
     read_edges,
     read_nodes,
     read_questions,
     stream_questions,
     union_dictionaries,
     write_answers,
+    write_clustered_graph,
     write_edges,
     write_nodes,
 )
@@ -513,6 +515,17 @@ def graph_inbound_neighbors(star: StarSchema) -> DataFrame:
     return gr.inbound_neighbors(_targets(star), star.graph).drop("dst_id")
 
 
+@query
+def graph_clustered(star: StarSchema) -> DataFrame:
+    """The same neighbours from a graph that is stored by its join keys."""
+    path = scratch_dir(star.spark, "clustered-graph")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(star.spark.conf.get("spark.sql.shuffle.partitions"))
+    write_clustered_graph(star.nodes, star.edges, name, buckets, path)
+    nodes, edges, names = read_clustered_graph(star.spark, name)
+    return gr.inbound_neighbors(_targets(star), gr.Graph(nodes, edges, names=names)).drop("dst_id")
+
+
 @query
 def graph_neighbor_lists(star: StarSchema) -> DataFrame:
     lists = gr.neighbor_lists(_targets(star), star.graph, SHORT_PART)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from graphask.functions import answers as an
 from graphask.plans import HotKeys, broadcast_if_bounded, cut_lineage, find_hot_keys, measure, salted_join
 from graphask.plans.catalog import IMAGE, INBOUND, RECORD, TemplateCatalog
+from graphask.plans.id_filter import possible
 from graphask.plans.skew import ROWS_PER_TASK
 
 NAMES_PER_PART = 50_000
@@ -26,13 +27,17 @@ _ASK = ["template_id", "slot_name"]
 class Graph:
     """``nodes(node_id, label, name, props)`` and ``edges(src_id, rel, dst_id)``.
 
-    The hot keys are found on first use with one counting pass each and are
+    ``names(src_id, source_name)`` are the names of all nodes once more where they are
+    stored by id; otherwise they are read from the nodes. The hot keys are found on first use with one counting pass each and are
     then shared by every batch answered from this graph.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> None:
+    def __init__(
+        self, nodes: DataFrame, edges: DataFrame, rows_per_task: int = ROWS_PER_TASK, names: DataFrame | None = None
+    ) -> None:
         self.nodes = nodes
         self.edges = edges
+        self.names = nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("source_name")) if names is None else names
         self._rows_per_task = rows_per_task
 
     def _hot(self, table: DataFrame, keys: list[str]) -> HotKeys:
@@ -125,7 +130,7 @@ def inbound_neighbors(
     reached = cut_lineage(
         _meet(edges.select("src_id", "rel", "dst_id"), targets, ["rel", "dst_id"], lambda: graph.hot_targets, "src_id")
     )
-    names = graph.nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("source_name"))
+    names = graph.names
     sources, few = broadcast_if_bounded(reached.select("src_id").distinct())
     if few:
         # The names of few sources are few rows too, node ids being distinct, but their bytes are measured as well.
@@ -134,7 +139,7 @@ def inbound_neighbors(
     if few:
         named = reached.join(names, "src_id")
     else:
-        named = salted_join(reached, names, ["src_id"], graph.hot_sources, "dst_id")
+        named = salted_join(reached, possible(names, "src_id", reached), ["src_id"], graph.hot_sources, "dst_id")
     return named.select(*keys, "src_id", "dst_id", "source_name")
 
 

@@ -3,8 +3,10 @@
 from graphask.sources.graph_tables import (
     node_scan_source,
     props_from_columns,
+    read_clustered_graph,
     read_edges,
     read_nodes,
+    write_clustered_graph,
     write_edges,
     write_nodes,
 )
@@ -33,6 +35,7 @@ __all__ = [
     "parse_vocabulary",
     "props_from_columns",
     "read_answers",
+    "read_clustered_graph",
     "read_dictionaries",
     "read_dictionary",
     "read_edges",
@@ -44,6 +47,7 @@ __all__ = [
     "stream_questions",
     "union_dictionaries",
     "write_answers",
+    "write_clustered_graph",
     "write_edges",
     "write_nodes",
 ]
