@@ -188,7 +188,7 @@ class StarSchema:
         """``word, idx`` of every word of the documents, numbered in their order."""
         words = self.document_words.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
         numbered = with_position(words, ["word"])
-        return numbered.select(F.col("idx").cast("int").alias("idx"), "word")
+        return stored(numbered.select(F.col("idx").cast("int").alias("idx"), "word"), "document-vocabulary")
 
     @cached_property
     def document_hits(self) -> DataFrame:

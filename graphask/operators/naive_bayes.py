@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphask.plans import broadcast_if_bounded, cut_lineage, find_hot_keys, salted_join
+from graphask.plans import broadcast_if_bounded, cut_lineage, find_hot_keys, salted_join, stored
 
 MAX_CLASSES = 10_000
 SMOOTHING = 1.0
@@ -78,7 +78,8 @@ def fit_table(
         math.log(per_class[k] + SMOOTHING) - math.log(n_texts + SMOOTHING * len(labels)) for k in labels
     ]
     table = vocabulary.select("idx").join(counts, "idx", "left").select("idx", F.array(*theta).alias("theta"))
-    return NaiveBayesTable(labels, log_priors, table)
+    # Written once: the table is measured, joined and listed.
+    return NaiveBayesTable(labels, log_priors, stored(table, "naive-bayes"))
 
 
 def score_table(
