@@ -21,7 +21,8 @@ from graphask.llm.textbytes import Words, mixed
 from graphask.plans.lineage import stored
 
 WINDOW = 8
-#: Tokens of a template window that are not placeholders; the window is extended until it has them.
+#: Tokens of a template window that are not placeholders; the window is extended until it has them. Texts of fewer
+#: tokens than ``WINDOW``, but this many, are one window as a whole.
 LEAST_WORDS = 4
 #: Share of an item's windows of a form that a document must have, and of placeholders that may contradict each other.
 LEAST_SHARE = 0.5
@@ -70,11 +71,13 @@ class Windows:
     values: np.ndarray
     per_doc: np.ndarray
     templates_per_doc: np.ndarray
+    tokens_per_doc: np.ndarray
 
 
-def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
+def template_windows(words: Words, wanted: np.ndarray | None = None, short: tuple[int, ...] | None = None) -> Windows:
     """All windows as templates, extended until they have enough plain words, those with placeholders also as plain words.
 
+    With ``short``, also all windows of these sizes below ``WINDOW``; without, those that are a whole text.
     With ``wanted``, sorted hashes, only windows with one of these. ``values`` has a row
     per window, for its first and its last ``WINDOW`` tokens: the hash of the word behind a
     placeholder, 0 for plain words. ``per_doc`` and ``templates_per_doc`` count the places
@@ -115,11 +118,28 @@ def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
     values = np.where(filled, value, np.uint64(0))
     power = np.cumprod(np.r_[np.uint64(1), np.full(n, _STEP)])
     back = np.cumprod(np.r_[np.uint64(1), np.full(n, _UNSTEP)])
+    whole_begin, whole_end = begin[whole], extended[whole]
+    plain_begin = begin[inside & (slots > 0)]
+    plain_end = plain_begin + WINDOW
+    n_whole, n_inside = plain.doc[whole_begin], plain.doc[:count][inside]
+    filled_upto = np.r_[0, np.cumsum(filled)]
+    size_of = np.bincount(plain.doc, minlength=words.n_docs)
+    for size in range(LEAST_WORDS, WINDOW) if short is None else short:
+        at = np.arange(max(n - size + 1, 0))
+        at = at[plain.doc[at] == plain.doc[at + size - 1]]
+        if short is None:
+            at = at[size_of[plain.doc[at]] == size]
+        holes = filled_upto[at + size] - filled_upto[at]
+        enough_words = at[size - holes >= LEAST_WORDS]
+        whole_begin, whole_end = np.r_[whole_begin, enough_words], np.r_[whole_end, enough_words + size]
+        plain_begin, plain_end = np.r_[plain_begin, at[holes > 0]], np.r_[plain_end, at[holes > 0] + size]
+        if short is None:
+            n_whole, n_inside = np.r_[n_whole, plain.doc[enough_words]], np.r_[n_inside, plain.doc[at]]
     found = []
     # The words themselves where a window has placeholders, too: names that capitals or sentence starts hide still match.
     for tokens, slot_values, at, end in (
-        (token, values, begin[whole], extended[whole]),
-        (mixed(value), np.zeros_like(values), begin[inside & (slots > 0)], begin[inside & (slots > 0)] + WINDOW),
+        (token, values, whole_begin, whole_end),
+        (mixed(value), np.zeros_like(values), plain_begin, plain_end),
     ):
         upto = np.r_[np.uint64(0), np.cumsum(tokens * power[:n])]
         hashed = mixed((upto[end] - upto[at]) * back[at])
@@ -130,7 +150,9 @@ def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
             kept = np.flatnonzero(seen[hashed & low])
             kept = kept[np.isin(hashed[kept], wanted)]
             at, end, hashed = at[kept], end[kept], hashed[kept]
-        inner = np.concatenate([at[:, None] + np.arange(WINDOW), end[:, None] - np.arange(WINDOW, 0, -1)], axis=1)
+        heads = np.minimum(at[:, None] + np.arange(WINDOW), end[:, None] - 1)
+        tails = np.maximum(end[:, None] - np.arange(WINDOW, 0, -1), at[:, None])
+        inner = np.concatenate([heads, tails], axis=1)
         found.append((at, hashed, slot_values[inner], np.full(len(at), not found)))
     at = np.concatenate([f[0] for f in found])
     order = np.argsort(at, kind="stable")
@@ -142,14 +164,16 @@ def template_windows(words: Words, wanted: np.ndarray | None = None) -> Windows:
         np.concatenate([f[3] for f in found])[order],
         np.concatenate([f[1] for f in found])[order],
         np.concatenate([f[2] for f in found])[order],
-        np.bincount(plain.doc[:count][inside], minlength=words.n_docs),
-        np.bincount(plain.doc[:count][whole], minlength=words.n_docs),
+        np.bincount(n_inside, minlength=words.n_docs),
+        np.bincount(n_whole, minlength=words.n_docs),
+        size_of,
     )
 
 
 _LISTS = T.StructType([
     T.StructField("n_windows", T.LongType()),
     T.StructField("n_templates", T.LongType()),
+    T.StructField("n_tokens", T.LongType()),
     T.StructField("forms", T.ArrayType(T.BooleanType())),
     T.StructField("places", T.ArrayType(T.LongType())),
     T.StructField("hashes", T.ArrayType(T.LongType())),
@@ -157,23 +181,25 @@ _LISTS = T.StructType([
 ])
 
 
-def _windows(texts: DataFrame, columns: list[str], wanted: np.ndarray | None = None) -> DataFrame:
-    """One row per window: ``columns, n_windows, n_templates, template, place, hash, slots``."""
+def _windows(
+    texts: DataFrame, columns: list[str], wanted: np.ndarray | None = None, short: tuple[int, ...] | None = None
+) -> DataFrame:
+    """One row per window: ``columns, n_windows, n_templates, n_tokens, template, place, hash, slots``."""
 
     def per_piece(words: Words) -> list:
-        found = template_windows(words, wanted)
+        found = template_windows(words, wanted, short)
         ends = pa.array(np.searchsorted(found.doc, np.arange(words.n_docs + 1)).astype(np.int32))
         rows = pa.array(np.arange(0, found.values.size + 1, 2 * WINDOW, dtype=np.int32))
         values = pa.ListArray.from_arrays(rows, pa.array(found.values.ravel().astype(np.int64)))
         lists = (pa.array(found.template), pa.array(found.place), pa.array(found.hash.astype(np.int64)), values)
-        counts = (found.per_doc.astype(np.int64), found.templates_per_doc.astype(np.int64))
+        counts = (found.per_doc.astype(np.int64), found.templates_per_doc.astype(np.int64), found.tokens_per_doc.astype(np.int64))
         return [*counts, *(pa.ListArray.from_arrays(ends, column) for column in lists)]
 
     listed = map_texts(texts, columns, _LISTS, per_piece).where(F.size("hashes") > 0)
     each = F.explode(F.arrays_zip(
         F.col("forms").alias("template"), F.col("places").alias("place"), F.col("hashes").alias("hash"), F.col("values").alias("slots")
     ))
-    counts = ["n_windows", "n_templates"]
+    counts = ["n_windows", "n_templates", "n_tokens"]
     return listed.select(*columns, *counts, each.alias("w")).select(
         *columns, *counts, F.col("w.template").alias("template"), F.col("w.place").alias("place"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")
     )
@@ -190,12 +216,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     templates. Windows
     with the same distance between their places in both texts are one occurrence; an
     occurrence counts only if few of its placeholders contradict each other, that is,
-    one value of the item stands for two values of the document.
+    one value of the item stands for two values of the document or two for one.
 
     Whole texts are read in their partitions, and only windows that an item has leave
     them while the item windows are within ``MAX_LOOKUP``; beyond, all windows meet in
     the same join by a shuffle. Later groups are per document and item. Missing texts
-    have no windows, nor have texts and items shorter than ``WINDOW`` words. Documents
+    have no windows. An item of fewer than ``WINDOW`` words is one window as a whole, and windows of its size are
+    made of all documents; items of fewer than ``LEAST_WORDS`` words are not found. Documents
     with equal ids are told apart by ``row_key``, a hash of id and text; repeated rows
     are reported once. Empty tables give no rows; other columns are ignored.
     """
@@ -204,6 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "item_id",
             F.col("n_windows").alias("item_windows"),
             F.col("n_templates").alias("item_templates"),
+            F.col("n_tokens").alias("item_tokens"),
             F.col("place").alias("item_place"),
             "hash",
             F.col("slots").alias("item_slots"),
@@ -215,8 +243,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if small:
         hashes = [row["hash"] for row in items.select("hash").distinct().collect()]
         wanted = np.sort(np.array(hashes, dtype=np.int64).astype(np.uint64))
+    short = tuple(row["item_tokens"] for row in items.where(F.col("item_tokens") < WINDOW).select("item_tokens").distinct().collect())
+    items = items.drop("item_tokens")
     keyed = docs.select("doc_id", "text", row_key(docs).alias("row_key"))
-    found = _windows(keyed, ["doc_id", "row_key"], wanted).drop("n_windows", "n_templates")
+    found = _windows(keyed, ["doc_id", "row_key"], wanted, short).drop("n_windows", "n_templates", "n_tokens")
     hits = found.join(F.broadcast(items) if small else items, "hash").distinct()
     pair = ["doc_id", "row_key", "item_id", "item_windows", "item_templates"]
     occurrence = [*pair, "shift"]
@@ -227,15 +257,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mapped = slots.groupBy(*occurrence, F.col("s.a").alias("value")).agg(
         F.collect_set("item_place").alias("item_places"),
         F.collect_set(F.when(F.col("template"), F.col("item_place"))).alias("template_places"),
-        (F.min("s.b") < F.max("s.b")).alias("conflict")
+        (F.min("s.b") < F.max("s.b")).alias("conflict"),
+        F.min("s.b").alias("becomes"),
     )
     is_slot = F.col("value") != 0
     checked = mapped.groupBy(*occurrence).agg(
         F.array_distinct(F.flatten(F.collect_list("item_places"))).alias("item_places"),
         F.array_distinct(F.flatten(F.collect_list("template_places"))).alias("template_places"),
         F.count_if(is_slot).alias("n_slots"),
-        F.count_if(is_slot & F.col("conflict")).alias("n_conflicts"),
-    )
+        F.count_if(is_slot & F.col("conflict")).alias("n_split"),
+        F.countDistinct(F.when(is_slot, F.col("becomes"))).alias("n_becomes"),
+    ).withColumn("n_conflicts", F.col("n_split") + F.col("n_slots") - F.col("n_becomes")).drop("n_split", "n_becomes")
     agreeing = checked.where(F.col("n_conflicts") <= MOST_CONFLICTS * F.col("n_slots"))
     whole = agreeing.groupBy(*pair).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("item_places")))).cast("long").alias("n_matched"),
