@@ -13,7 +13,8 @@ import corpus_pipeline
 from graphask.llm.components import components
 from graphask.llm.decontaminate import find_leaks
 from graphask.llm.license_scan import closest, scan, templates
-from graphask.llm.masked_lm import OFFSETS, VOCABULARY, Network, Vocabulary, contexts, fit_network, fit_vocabulary, score_documents
+from graphask.llm.hashed_text import bare
+from graphask.llm.masked_lm import CLASSES, OFFSETS, Network, Tokens, encode, fit_network, fit_vocabulary, score_documents
 from graphask.llm.ordinal_quality import OrdinalModel
 from graphask.llm.sharding import shards
 from graphask.llm.simhash import fingerprint, links, near_duplicates
@@ -251,20 +252,124 @@ def test_closest_run_is_the_best_of_all_runs():
         assert differences(template, found[start:end]) == cost
 
 
-def test_masked_likelihood_is_that_of_the_formula(spark):
-    rng = np.random.default_rng(0)
-    vocabulary = Vocabulary(np.zeros(0, np.uint64))
-    network = Network.start(np.full(VOCABULARY, 1 / VOCABULARY, np.float32))
+@pytest.mark.parametrize(
+    ("item", "text", "held"),
+    [
+        ("What is the capital of France?", "They asked: so, what is the capital of France? Nobody knew.", True),
+        ("What is the capital of France?", "One item was what is the capital of Spain, and then it went on.", True),
+        ("What is the capital of France?", "France is a country whose capital is what they asked about in the quiz.", False),
+        ("too short an", "this is too short an item to be looked for", False),
+        # Four values of the item on one value of the document.
+        ("A box holds 5 red balls and 7 blue balls and 9 green balls and 4 black balls in all.",
+         "A box holds 8 red balls and 8 blue balls and 8 green balls and 8 black balls in all.", False),
+        ("A box holds 5 red balls and 7 blue balls and 9 green balls and 4 black balls in all.",
+         "A box holds 8 red balls and 3 blue balls and 6 green balls and 2 black balls in all.", True),
+    ],
+)
+def test_short_items_and_conflicts_both_ways(spark, item, text, held):
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "an unrelated text of some words")], "doc_id long, text string")
+    found = find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [r["doc_id"] for r in found] == ([1] if held else [])
+
+
+def test_generated_items_are_found_under_other_values(spark):
+    rng = random.Random(6)
+    plain = [f"{a}{b}" for a in ("lor", "mip", "tas", "ver", "quo") for b in ("em", "ion", "ule", "and", "ist", "ope")]
+    items, rows = [], []
+    for i in range(60):
+        shape = [rng.choice("wwwn") for _ in range(rng.randrange(12, 30))]
+        words = [rng.choice(plain) for _ in shape]
+        for copy in range(2):
+            values = rng.sample(range(10, 9999), len(shape))
+            text = " ".join(str(v) if s == "n" else w for s, w, v in zip(shape, words, values, strict=True))
+            if copy:
+                rows.append((i, f"{' '.join(rng.choices(plain, k=40))}. {text}. {' '.join(rng.choices(plain, k=40))}"))
+            else:
+                items.append((i, text))
+    rows += [(1000 + i, " ".join(rng.choices(plain, k=100))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(found & {(i, i) for i in range(60)}) >= 54
+    assert all(doc == item for doc, item in found)
+
+
+def _small_network(rng):
+    network = Network.start(np.full(CLASSES, 1 / CLASSES, np.float32))
     network.views["out"][:] = rng.normal(0, 1, network.views["out"].shape)
-    (words,) = pieces(pa.array(["a b c a b", "d"]))
-    doc, ids, around = contexts(words, vocabulary)
-    got = network.log_likelihoods(ids, around)
+    return network
+
+
+def _formula(network, tokens):
+    """Log likelihood of every token in double precision, token by token."""
     v = {k: a.astype(float) for k, a in network.views.items()}
-    for n in range(len(ids)):
-        near = [ids[n + o] if 0 <= n + o < len(ids) and doc[n + o] == doc[n] else VOCABULARY for o in OFFSETS]
+    for place in tokens.place:
+        near = [tokens.padded[place + o] for o in OFFSETS]
         hidden = np.tanh(v["hidden"] + sum(v["tables"][k][t] for k, t in enumerate(near)))
-        logits = hidden @ v["out"] + v["bias"]
-        assert got[n] == pytest.approx(logits[ids[n]] - np.log(np.exp(logits).sum()), abs=1e-4)
+        logits = np.r_[hidden, 1] @ v["out"]
+        yield logits[tokens.padded[place]] - np.log(np.exp(logits).sum())
+
+
+def test_masked_likelihood_is_that_of_the_formula():
+    tokens = Tokens.of(np.array([1, 2, 3, 1, 2, 9, 9]), np.array([5, 0, 1, 1]))
+    marks = tokens.padded == CLASSES
+    assert marks.sum() == 2 * 5 and list(tokens.doc) == [0] * 5 + [2, 3]
+    network = _small_network(np.random.default_rng(0))
+    assert network.log_likelihoods(tokens) == pytest.approx(list(_formula(network, tokens)), abs=1e-4)
+
+
+def test_gradient_is_the_slope_of_the_formula():
+    rng = np.random.default_rng(1)
+    tokens = Tokens.of(rng.integers(0, 6, 60), np.array([20, 1, 39]))
+    network = _small_network(rng)
+    got = network.gradient(tokens)
+    moved = rng.choice(np.flatnonzero(np.abs(got) > 0.1), 25, replace=False)
+    for at in moved:
+        sides = []
+        for step in (1e-3, -1e-3):
+            vector = network.vector.astype(float)
+            vector[at] += step
+            sides.append(-sum(_formula(Network(vector), tokens)))
+        assert got[at] == pytest.approx((sides[0] - sides[1]) / 2e-3, rel=1e-2, abs=1e-3)
+
+
+def test_probabilities_of_all_words_of_the_corpus_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr("graphask.llm.masked_lm.KNOWN", 100)
+    text = " ".join(f"word{i % 150}{'abc'[i % 3]}" for i in range(2000)) + " once twice thrice 1 22 333"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "once again")], "doc_id long, text string")
+    vocabulary, share, tokens = fit_vocabulary(docs)
+    assert share.sum() == pytest.approx(1, abs=1e-5) and tokens == 2008 and len(vocabulary.hashes) == 100
+    every = sorted({*text.split(), "again"})
+    (words,) = pieces(pa.array([" ".join(every)]))
+    classes, logs = vocabulary.look_up(bare(words))
+    for c in set(classes):
+        assert np.exp(logs[classes == c]).sum() == pytest.approx(1, abs=1e-9)
+
+
+def _sentences(n, seed):
+    rng = random.Random(seed)
+    kinds = [[f"{kind}{k}" for k in range(30)] for kind in ("noun", "verb", "mark")]
+    return [(i, " ".join(rng.choice(kinds[k % 3]) for k in range(rng.randrange(3, 60)))) for i in range(n)]
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = _sentences(400, 2)
+    got = []
+    for parts in (1, 8, 64):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got.append([r["per_token"] for r in score_documents(docs).orderBy("doc_id").collect()])
+    assert got[1] == pytest.approx(got[0], abs=1e-3) and got[2] == pytest.approx(got[0], abs=1e-3)
+
+
+def test_unseen_texts_are_likelier_than_by_frequencies(spark):
+    docs = spark.createDataFrame(_sentences(400, 3), "doc_id long, text string")
+    vocabulary, share, n = fit_vocabulary(docs)
+    network = fit_network(encode(docs, vocabulary, n), share)
+    (words,) = pieces(pa.array([text for _, text in _sentences(100, 4)]))
+    plain = bare(words)
+    classes, _ = vocabulary.look_up(plain)
+    tokens = Tokens.of(classes, np.bincount(plain.doc, minlength=100))
+    # The kind of a word follows from its neighbours, which makes it three times as likely.
+    assert network.log_likelihoods(tokens).mean() > np.log(share)[classes].mean() + 0.8
 
 
 def test_training_beats_frequencies_and_orders_texts(spark):
@@ -279,9 +384,8 @@ def test_training_beats_frequencies_and_orders_texts(spark):
     docs = spark.createDataFrame([*rows, (100, " ".join(shuffled))], "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: r["per_token"] for r in score_documents(docs).collect()}
     assert got[1] > -1.0 and got[100] < got[1] - 1.0
-    vocabulary, share = fit_vocabulary(docs)
-    assert share.sum() == pytest.approx(1) and len(vocabulary.hashes) == 8
-    assert fit_network(docs, vocabulary, share, rounds=0).views["bias"].shape == (VOCABULARY,)
+    vocabulary, share, tokens = fit_vocabulary(docs)
+    assert share.sum() == pytest.approx(1) and len(vocabulary.hashes) == 8 and tokens == 61 * 800
 
 
 def test_every_token_of_short_texts_is_trained_on(spark):

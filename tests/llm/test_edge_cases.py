@@ -89,7 +89,10 @@ def test_one_row_per_document(name, docs, labels, benchmark):
     got = PER_DOCUMENT[name](docs, labels, benchmark).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
     same = [tuple(r) for r in got if r["doc_id"] == 4]
-    assert name == "op10" or same[0] == same[1]
+    if name == "op7":  # sums of single precision, equal up to rounding
+        assert same[0] == pytest.approx(same[1], rel=1e-6)
+    else:
+        assert name == "op10" or same[0] == same[1]
 
 
 @pytest.mark.parametrize("name", [*PER_DOCUMENT, *SPARSE, *FILTERS])
