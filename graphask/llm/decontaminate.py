@@ -281,11 +281,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that hold no item."""
+    """The documents, with all their columns, that hold no item.
+
+    Missing and empty texts hold none and stay; repeated rows stay or go together; an empty
+    benchmark keeps all documents; columns of any names pass through.
+    """
     leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("row_key").alias("_leak_key")).distinct()
     same = (row_key(docs) == leaks["_leak_key"]) & docs["doc_id"].eqNullSafe(leaks["_leak_id"])
     return docs.join(leaks, same, "left_anti")
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``find_leaks`` by ``doc_id``; different texts with one id give a row each, and a missing id stays missing."""
     return find_leaks(docs, benchmark).drop("row_key")

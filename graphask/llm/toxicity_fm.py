@@ -162,5 +162,9 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``, in cases as ``score_toxicity`` says.
+
+    A missing id is not held out; without labels every score is one half and ``predicted`` is 1.
+    """
     scored = score_toxicity(docs, fit_toxicity(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
