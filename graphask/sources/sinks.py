@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: One answer may be a megabyte of names that thousands of questions share. The dictionary of a column chunk takes such
+#: texts, so a chunk holds each once, and row groups are short, as writers and readers hold a page or a batch of
+#: whole texts, which by default may have thousands of rows and never reaches over the end of a row group.
+_LONG_TEXTS = {
+    "parquet.dictionary.page.size": 64 << 20,
+    "parquet.block.size": 16 << 20,
+    "parquet.block.row.count.limit": 256,
+    "parquet.block.size.row.check.max": 64,
+    "parquet.block.size.row.check.min": 64,
+    "parquet.page.size.row.check.max": 64,
+    "parquet.page.size.row.check.min": 64,
+}
+
+
 def write_answers(answers: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
-    answers.write.mode(mode).format(fmt).save(path)
+    answers.write.mode(mode).format(fmt).options(**(_LONG_TEXTS if fmt == "parquet" else {})).save(path)
 
 
 def read_answers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from graphask.plans.answer_questions import QuestionEngine
+from graphask.sources import write_answers
 from graphask.streaming.dictionary_versions import DictionaryVersions
 
 
@@ -38,7 +39,7 @@ def answer_stream(
         return current[version]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        engine_for(batch_id).answer(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        write_answers(engine_for(batch_id).answer(batch), f"{path}/batch_id={batch_id}", mode="overwrite")
 
     writer = questions.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}

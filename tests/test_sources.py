@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from graphask import schemas
 from graphask.sources import (
     DICTIONARY_ORDER,
     props_from_columns,
+    read_answers,
     read_dictionaries,
     read_dictionary,
     read_edges,
@@ -14,6 +16,7 @@ from graphask.sources import (
     read_samples,
     read_templates,
     read_vocabulary,
+    write_answers,
     write_edges,
     write_nodes,
 )
@@ -130,3 +133,15 @@ def test_question_table(spark, tmp_path):
     path = str(tmp_path / "q")
     spark.createDataFrame([(1, "x")], schemas.QUESTIONS).write.json(path)
     assert read_questions(spark, path, "json").collect() == [(1, "x")]
+
+
+def test_long_answers_are_stored_once_in_short_row_groups(spark, tmp_path):
+    """Rows of a few bytes do not make a writer or reader hold thousands of long ones that follow."""
+    long = F.concat((F.col("id") % 3).cast("string"), F.repeat(F.lit("n"), 50_000))
+    answers = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") < 1000, F.lit("short")).otherwise(long).alias("answer"))
+    write_answers(answers, str(tmp_path / "answers"))
+    stored = [pq.ParquetFile(file).metadata for file in (tmp_path / "answers").glob("*.parquet")]
+    groups = [meta.row_group(i) for meta in stored for i in range(meta.num_row_groups)]
+    assert sum(group.num_rows for group in groups) == 3000 and max(group.num_rows for group in groups) <= 256
+    assert max(group.total_byte_size for group in groups) < 1_000_000
+    assert read_answers(spark, str(tmp_path / "answers")).exceptAll(answers).isEmpty()
