@@ -19,7 +19,7 @@ from graphask.operators import trees as tr
 from graphask.operators.conversion import ConversionTable, convert_phrases
 from graphask.operators.features import feature_hits
 from graphask.operators.tagging import explode_terms, highest_tag, last_mentions, tag_entities
-from graphask.plans import cut_lineage, scratch_dir
+from graphask.plans import cut_lineage, scratch_dir, stored
 from graphask.sources import (
     label_sections,
     node_scan_source,
@@ -379,7 +379,8 @@ def ml_naive_bayes_fit(star: StarSchema) -> DataFrame:
 @query
 def ml_naive_bayes_counts(star: StarSchema) -> DataFrame:
     """Count features, labels 1 and 2, trained on labelled documents, every document scored."""
-    counts = feature_hits(star.document_words, star.document_vocabulary, "doc_id", binary=False)
+    # Written once: the model is fitted on the counts and scores them.
+    counts = stored(feature_hits(star.document_words, star.document_vocabulary, "doc_id", binary=False), "document-counts")
     labels = star.table("labels").select("doc_id", (F.col("quality") + 1).alias("label"))
     model = nb.fit_table(counts.join(labels, "doc_id"), labels, star.document_vocabulary, value="value")
     scores = nb.score_table(model, star.table("documents"), counts, "doc_id", value="value")

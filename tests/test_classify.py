@@ -1,7 +1,10 @@
+import math
+
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from graphask.examples.queries import QUERIES
 from graphask.operators import classifiers as cl
 from graphask.operators import naive_bayes as nb
 from graphask.operators.features import feature_hits, labeled_points, vectorize, vocabulary_words
@@ -164,3 +167,18 @@ def test_copies_count_as_weight(spark):
     plain = vectorize(samples.select("label", F.array("sentence").alias("words")), ["a", "b"])
     repeated = cl.fit_naive_bayes(plain.select("label", "features"), ["a", "b"]).model
     assert weighted.pi == repeated.pi and weighted.theta == repeated.theta
+
+
+def test_document_counts_are_written_once_and_scored(spark, tmp_path):
+    """The scores read the stored counts, not the texts once more, and are those of the formula."""
+    docs = [(0, "red red blue", "en"), (1, "green", "en"), (2, "", "en"), (3, "blue green green", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    scored = QUERIES["ml_naive_bayes_counts"](spark, str(tmp_path))
+    assert any("document-counts" in file for file in scored.inputFiles())
+    first = {"red": 3 / 6, "blue": 2 / 6, "green": 1 / 6}
+    second = {"red": 1 / 4, "blue": 1 / 4, "green": 2 / 4}
+    got = {r["doc_id"]: r["p_first"] for r in scored.collect()}
+    for doc_id, text, _ in docs:
+        a, b = (math.prod(chance[word] for word in text.split()) for chance in (first, second))
+        assert got[doc_id] == pytest.approx(a / (a + b), abs=2e-6)
