@@ -143,3 +143,45 @@ def test_trees_need_neither_words_nor_two_classes(spark):
     assert [t.splits for t in model.rounds[0]] == [{}, {}] and model.predict(wordless).where(F.col("prediction") == "b").count() == 2
     with pytest.raises(ValueError, match="no training samples"):
         tr.fit_tree(one.limit(0))
+
+
+def _rows_with_rare_words(n=160, n_words=6_000):
+    """Common words that tell little and many rare ones, more than are summed at every node."""
+    rng = random.Random(3)
+    rows = [(i, label, weight, sorted(set(words) | set(rng.sample(range(14, n_words), 90)))) for i, label, weight, words in _rows(5, n=n)]
+    return rows, n_words
+
+
+def test_rare_words_win_where_they_gain_most(spark):
+    rows, n_words = _rows_with_rare_words()
+    points = spark.createDataFrame(rows, SCHEMA)
+    x, y, weight, labels = _matrix(rows, n_words)
+    assert (x.any(axis=0)).sum() > tr.COMMON
+    tree = tr.fit_tree(points, 4)
+    got = {r["node"]: (r["depth"], r["idx"], labels.index(r["prediction"]), r["counts"]) for r in tree.nodes.collect()}
+    assert got == _numpy_tree(x, y, weight, len(labels), 4)
+    model = tr.fit_boosted(points, rounds=1, depth=3)
+    splits, _, losses = _numpy_boosted(x, y, weight, len(labels), 1, tr.BOOST_RATE, 3)
+    assert [[t.splits for t in trees] for trees in model.rounds] == splits and model.losses == pytest.approx(losses)
+
+
+def test_no_word_gains_more_than_its_bound():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        lack, has = rng.uniform(-0.7, 0.7, 50), rng.random(50) < rng.random()
+        inside, whole = np.array([[lack[has].sum(), has.sum()]]), np.array([[lack.sum(), 50.0]])
+        bound = tr._most_gain(float(has.sum()) + rng.integers(3), whole[0, 0], 50.0, 0.7)
+        assert tr._score_gain(inside, whole)[1][0] <= bound + 1e-9
+        own = rng.integers(0, 3, 50)
+        sides = [np.bincount(own[part], minlength=3).astype(float)[None] for part in (has, np.full(50, True))]
+        assert tr._entropy_gain(*sides)[1][0] <= tr._most_bits(float(has.sum()), 50.0) + 1e-9
+
+
+def test_rounds_write_no_tables(spark, monkeypatch):
+    """The texts are written once, not again in every round and level."""
+    written = []
+    monkeypatch.setattr(tr, "stored", lambda df, name, stored=tr.stored: written.append(name) or stored(df, name))
+    points = spark.createDataFrame(_rows(2, n=30), SCHEMA)
+    tr.fit_boosted(points, rounds=3, depth=2)
+    tr.fit_tree(points, 3)
+    assert sorted(written) == ["tree-texts", "tree-texts", "tree-words", "tree-words"]
