@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphask.plans import broadcast_if_bounded, cut_lineage, find_hot_keys, measure, salted_join, skew
@@ -93,3 +94,37 @@ def test_lists_maps_and_structs_are_measured(spark):
         F.lit(None).cast("array<double>").alias("none"),
     )
     assert measure(rows) == (10, 10 * (8000 + 3 + 1 + 8 + 2 + 8))
+
+
+@pytest.mark.parametrize("most", [0, 1, 20, 1000])
+def test_frequent_join_gives_the_plain_join(spark, sides, monkeypatch, most):
+    many, one = sides
+    many = many.unionByName(spark.createDataFrame([(1000, None), (1001, "k1")], "id long, k string"))
+    one = one.unionByName(spark.createDataFrame([("k1", 77), ("hot", 78), (None, 79)], "k string, v int"))
+    monkeypatch.setattr(skew, "FREQUENT_KEYS", most)
+    counts = many.groupBy("k").agg(F.count("*").alias("n"))
+    got = skew.frequent_join(many, one, "k", counts, "id").select("id", "k", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in many.join(one, "k").select("id", "k", "v").collect())
+
+
+def test_hits_of_frequent_words_are_not_shuffled(spark, monkeypatch):
+    """With a vocabulary beyond a broadcast only the rows of rare words meet it by a shuffle."""
+    from graphask.operators import features, naive_bayes as nb
+
+    texts = spark.range(400).select(
+        F.col("id").alias("doc_id"), F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("rare"), F.col("id"))).alias("words")
+    )
+    words = texts.select(F.explode("words").alias("word")).distinct()
+    vocabulary = cut_lineage(words.select("word", F.dense_rank().over(Window.orderBy("word")).alias("idx")))
+    plain = sorted(map(tuple, features.feature_hits(texts, vocabulary, "doc_id").collect()))
+    hits = cut_lineage(features.feature_hits(texts, vocabulary, "doc_id"))
+    model = nb.NaiveBayesTable([0], [0.0], vocabulary.select("idx", F.array(F.col("idx") * 0.5).alias("theta")))
+    scores = sorted(map(str, nb.score_table(model, texts, hits, "doc_id").collect()))
+    monkeypatch.setattr(skew, "FREQUENT_KEYS", 4)
+    for module in (features, nb):
+        monkeypatch.setattr(module, "broadcast_if_bounded", lambda df, **_: (df, False))
+    seen = []
+    monkeypatch.setattr(skew, "salted_join", lambda many, *rest, join=skew.salted_join: seen.append(many.count()) or join(many, *rest))
+    assert sorted(map(tuple, features.feature_hits(texts, vocabulary, "doc_id").collect())) == plain
+    assert sorted(map(str, nb.score_table(model, texts, hits, "doc_id").collect())) == scores
+    assert seen == [400, 400]
