@@ -551,6 +551,8 @@ def ans_join_names(star: StarSchema) -> DataFrame:
     keys = ["rel", "label", "name"]
     targets = _targets(star)
     lists = gr.neighbor_lists(targets, star.graph, SHORT_PART).select(*keys, "part_no", an.join_names(F.col("names")).alias("answer"))
+    # Written once: the lists are returned, and their keys tell the targets without any.
+    lists = stored(lists, "name-lists")
     without = targets.join(lists.select(*keys).distinct(), keys, "left_anti")
     return lists.unionByName(without, allowMissingColumns=True).select("rel", "name", "part_no", "answer")
 

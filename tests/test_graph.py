@@ -142,3 +142,22 @@ def test_few_asks_stream_past_the_graph(spark, graph, tmp_path):
     # The folder may be shortened in the plan, its filters are not.
     scan = next(line for line in plan.splitlines() if "FileScan" in line and "PartitionFilters: [isnotnull(label" in line)
     assert "水产品" in scan
+
+
+def test_long_lists_are_written_once_a_step(spark, monkeypatch):
+    """The rows of the lists are written as tables: reached, named, ranged. A checkpoint would compute them twice."""
+    nodes = spark.createDataFrame(
+        [(1, "nation", "n", {})] + [(i, "customer", f"c{i % 7}", {}) for i in range(10, 40)],
+        "node_id long, label string, name string, props map<string,string>",
+    )
+    edges = spark.createDataFrame([(i, "based_in", 1) for i in range(10, 40)], "src_id long, rel string, dst_id long")
+    written, checkpointed = [], []
+    monkeypatch.setattr(gr, "stored", lambda df, name, stored=gr.stored: written.append(name) or stored(df, name))
+    monkeypatch.setattr(gr, "cut_lineage", lambda df, cut=gr.cut_lineage: checkpointed.append(df.columns) or cut(df))
+    asked = spark.createDataFrame([("based_in", "nation", "n")], "rel string, label string, name string")
+    lists = gr.neighbor_lists(asked, gr.Graph(nodes, edges), 4)
+    rows = sorted(lists.collect(), key=lambda row: row["part_no"])
+    assert [name for row in rows for name in row["names"]] == sorted(f"c{i % 7}" for i in range(10, 40))
+    assert [(row["part_no"], row["n_parts"], row["n_names"]) for row in rows] == [(i, 8, 30) for i in range(8)]
+    assert written == ["reached", "names", "ranged-names"]
+    assert not any("_row" in columns or {"src_id", "dst_id"} <= set(columns) for columns in checkpointed)
