@@ -2,7 +2,8 @@
 
 The softmax is factored: a word's class given its neighbours comes from the network, the
 word given its class from the counts of the corpus. The most frequent words are classes of their own, all
-others share classes by their endings. Two tokens to the left and two to the right select rows of four tables, whose
+others share classes by their endings. The counts of the most frequent words are sent to the tasks, those of all
+other words, of which there may be any number, meet their tokens in a join. Two tokens to the left and two to the right select rows of four tables, whose
 sum goes through a tanh layer to a softmax over the classes. A document's score is
 the sum of the log probabilities of its tokens, each given its neighbours.
 """
@@ -22,7 +23,7 @@ from graphask.llm.hashed_text import Adam, bare, map_texts
 from graphask.llm.textbytes import Words, in_small_batches, mixed, pieces
 from graphask.plans.lineage import scratch_dir, stored
 
-#: Words with a class of their own, classes of endings for all others, and words with a probability of their own.
+#: Words with a class of their own, classes of endings for all others, and words whose counts are sent to every task.
 FREQUENT = 64
 ENDINGS = 32
 KNOWN = 16_384
@@ -63,21 +64,35 @@ def endings(plain: Words) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Sorted hashes of the known words with their classes and log probabilities in these; those of an unknown word by ending."""
+    """Sorted hashes of the known words with their classes and log probabilities in these.
+
+    Of each ending, the log of all counts in its class, and the mean log probability of a word that is not known.
+    """
 
     hashes: np.ndarray
     classes: np.ndarray
     logs: np.ndarray
+    masses: np.ndarray
     unknown: np.ndarray
 
-    def look_up(self, plain: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Class of every word and its log probability in the class."""
+    def split(self, plain: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class of every word; its log probability in the class, to which a rare word must add the log of its count; the rare
+        words, which are all that are not known, and their hashes."""
         hashes, ending = plain.hashes(), endings(plain)
-        classes, logs = FREQUENT + ending, self.unknown[ending]
+        classes, logs, rare = FREQUENT + ending, -self.masses[ending], np.ones(len(hashes), bool)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             known = np.flatnonzero(self.hashes[at] == hashes)
-            classes[known], logs[known] = self.classes[at[known]], self.logs[at[known]]
+            classes[known], logs[known], rare[known] = self.classes[at[known]], self.logs[at[known]], False
+        places = np.flatnonzero(rare)
+        return classes, logs, places, hashes[places]
+
+    def look_up(self, plain: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Class of every word and its log probability in the class, without a join: where only the known words
+        are at hand, as for texts outside the corpus, others have the mean of their ending. Documents of the corpus
+        are scored by :func:`rare_logs`, with the count of every word."""
+        classes, logs, rare, _ = self.split(plain)
+        logs[rare] = self.unknown[classes[rare] - FREQUENT]
         return classes, logs
 
 
@@ -207,13 +222,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "hash long, ending long, n long").groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def fit_vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray, int]:
+def fit_vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Vocabulary, np.ndarray, int]:
     """The known words, the share of every class and the number of tokens, from the counts of the whole corpus.
 
-    At most ``KNOWN`` words, the most frequent ones, come to the driver. The unknown words of an
-    ending share what the known ones leave, evenly, so the probabilities of all words of the corpus sum to one.
+    At most ``KNOWN`` words, the most frequent ones, come to the driver. ``counts`` is the stored
+    :func:`count_words` of the documents, where a caller needs it too.
     """
-    counts = stored(count_words(docs), "lm-counts")
+    counts = stored(count_words(docs), "lm-counts") if counts is None else counts
     top = counts.orderBy(F.desc("n"), "hash").limit(KNOWN).toPandas()
     n, ending = top["n"].to_numpy(np.int64), top["ending"].to_numpy(np.int64)
     classes = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)), FREQUENT + ending)
@@ -226,42 +241,58 @@ def fit_vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray, int]:
     distinct -= np.bincount(ending, minlength=ENDINGS)
     rest = mass[FREQUENT:] - np.bincount(ending[FREQUENT:], n[FREQUENT:], ENDINGS)
     unknown = np.log(np.maximum(rest, 1) / np.maximum(mass[FREQUENT:], 1) / np.maximum(distinct, 1))
-    logs = np.log(n / mass[classes])
+    logs, masses = np.log(n / mass[classes]), np.log(np.maximum(mass[FREQUENT:], 1))
     hashes = top["hash"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(hashes)
     share = (mass + 1) / (mass + 1).sum()
-    return Vocabulary(hashes[order], classes[order], logs[order], unknown), share.astype(np.float32), tokens
+    return Vocabulary(hashes[order], classes[order], logs[order], masses, unknown), share.astype(np.float32), tokens
 
 
 _ENCODED = T.StructType([
     T.StructField("n_tokens", T.LongType()),
     T.StructField("in_class", T.DoubleType()),
     T.StructField("classes", T.BinaryType()),
+    T.StructField("rare", T.ArrayType(T.LongType())),
 ])
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> DataFrame:
-    """``doc_id, n_tokens, in_class, classes, step`` of every document, written once in groups by ``step``.
+    """``doc_id, row, n_tokens, in_class, classes, rare, step`` of every document, written once in groups by ``step``.
 
     ``classes`` holds a byte for each token, ``in_class`` the sum of the log probabilities of the words in
-    their classes. The group is a hash of the document, so it does not depend on partitions.
+    their classes, without the counts of the rare words, whose hashes are in ``rare``. ``row`` numbers the rows, as ids may
+    repeat. The group is a hash of the document, so it does not depend on partitions.
     """
 
     def per_piece(words: Words) -> list:
         plain = bare(words)
-        classes, logs = vocabulary.look_up(plain)
+        classes, logs, rare, hashes = vocabulary.split(plain)
         ends = np.searchsorted(plain.doc, np.arange(words.n_docs + 1)).astype(np.int64)
         encoded = pa.Array.from_buffers(pa.large_binary(), words.n_docs, [None, pa.py_buffer(ends), pa.py_buffer(classes.astype(np.uint8))])
         inner = np.bincount(plain.doc, logs, words.n_docs).astype(float)
-        return [np.diff(ends), inner, encoded.cast(pa.binary())]
+        upto = np.searchsorted(plain.doc[rare], np.arange(words.n_docs + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(hashes.astype(np.int64)))
+        return [np.diff(ends), inner, encoded.cast(pa.binary()), lists]
 
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS)).cast("int").alias("step"))
+    step = F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS)).cast("int")
+    keyed = docs.select("doc_id", "text", step.alias("step"), F.monotonically_increasing_id().alias("row"))
     files = max(LEAST_FILES, -(-tokens // (STEPS * FILE_TOKENS)))
-    dealt = map_texts(keyed, ["doc_id", "step"], _ENCODED, per_piece).withColumn("file", F.monotonically_increasing_id() % files)
+    dealt = map_texts(keyed, ["doc_id", "step", "row"], _ENCODED, per_piece).withColumn("file", F.col("row") % files)
     path = scratch_dir(docs.sparkSession, "lm-encoded")
     dealt.repartition(STEPS * files, "step", "file").drop("file").write.partitionBy("step").parquet(path)
-    schema = T.StructType([docs.schema["doc_id"], *_ENCODED.fields, T.StructField("step", T.IntegerType())])
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    row, group = T.StructField("row", T.LongType()), T.StructField("step", T.IntegerType())
+    return docs.sparkSession.read.schema(T.StructType([docs.schema["doc_id"], row, *_ENCODED.fields, group])).parquet(path)
+
+
+def rare_logs(encoded: DataFrame, counts: DataFrame) -> DataFrame:
+    """``row, rare_log``: the sum of the logs of the counts of all rare words of a document, for those that have any.
+
+    Every rare word meets its own count, by its hash. No word is frequent here, as ``KNOWN`` words occur
+    at least as often, so no key holds more than a small share of the tokens.
+    """
+    words = encoded.select("row", F.explode("rare").alias("hash")).groupBy("row", "hash").agg(F.count(F.lit(1)).alias("times"))
+    met = words.join(counts.select("hash", F.log(F.col("n").cast("double")).alias("log")), "hash")
+    return met.groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("rare_log"))
 
 
 def _tokens(column: pa.Array) -> Tokens:
@@ -328,8 +359,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     A missing or empty text has no tokens, likelihood 0 and a null mean. Whole texts are read in their
     partitions; repeated rows score alike up to rounding; no documents give no rows; other columns are ignored.
+    Every word has its own share of its class, by its count in the corpus.
     """
-    vocabulary, share, tokens = fit_vocabulary(docs)
+    counts = stored(count_words(docs), "lm-counts")
+    vocabulary, share, tokens = fit_vocabulary(docs, counts)
     encoded = encode(docs, vocabulary, tokens)
     network = fit_network(encoded, share)
 
@@ -338,8 +371,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
             tokens = _tokens(batch.column("classes"))
             logs = np.bincount(tokens.doc, network.log_likelihoods(tokens), batch.num_rows).astype(float)
             total = logs + batch.column("in_class").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(total)], schema.fieldNames())
-
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType())])
-    mean = F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens"))
-    return encoded.select("doc_id", "n_tokens", "in_class", "classes").mapInArrow(run, schema).withColumn("per_token", mean)
+            kept = [batch.column(c) for c in ("doc_id", "row", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(total)], schema.fieldNames())
+
+    sums = [T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("frequent", T.DoubleType())]
+    schema = T.StructType([docs.schema["doc_id"], *sums])
+    scored = encoded.select("doc_id", "row", "n_tokens", "in_class", "classes").mapInArrow(run, schema)
+    total = F.col("frequent") + F.coalesce("rare_log", F.lit(0.0))
+    return scored.join(rare_logs(encoded, counts), "row", "left").select(
+        "doc_id",
+        "n_tokens",
+        total.alias("pseudo_log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"),
+    )

@@ -1,7 +1,7 @@
 """Operators that SQL does not express, against plain Python on small inputs."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -360,6 +360,31 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert got[1] == pytest.approx(got[0], abs=1e-3) and got[2] == pytest.approx(got[0], abs=1e-3)
 
 
+def test_every_word_has_its_own_share_of_its_class(spark, monkeypatch):
+    monkeypatch.setattr("graphask.llm.masked_lm.KNOWN", 70)
+    common = " ".join(f"w{i % 70}a" for i in range(2100))
+    # All after the first have one ending, so within a class they differ by their counts alone; the ids repeat.
+    rows = [(1, common), (2, "onceqa"), (2, "twiceqa twiceqa"), (None, "thriceqa thriceqa thriceqa"), (3, None), (4, "onceqa thriceqa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocabulary, share, tokens = fit_vocabulary(docs)
+    encoded = encode(docs, vocabulary, tokens)
+    network = fit_network(encoded, share)
+    counts = Counter(word for _, text in rows for word in (text or "").split())
+    (every,) = pieces(pa.array([" ".join(counts)]))
+    classes = dict(zip(counts, vocabulary.look_up(bare(every))[0], strict=True))
+    mass = Counter()
+    for word, n in counts.items():
+        mass[classes[word]] += n
+    expected = []
+    for _, text in rows:
+        words = (text or "").split()
+        of_classes = network.log_likelihoods(Tokens.of(np.array([classes[w] for w in words], int), np.array([len(words)]))).sum()
+        expected.append(of_classes + sum(np.log(counts[w] / mass[classes[w]]) for w in words))
+    got = score_documents(docs).collect()
+    assert sorted(r["pseudo_log_likelihood"] for r in got) == pytest.approx(sorted(expected), abs=1e-3)
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+
+
 def test_unseen_texts_are_likelier_than_by_frequencies(spark):
     docs = spark.createDataFrame(_sentences(400, 3), "doc_id long, text string")
     vocabulary, share, n = fit_vocabulary(docs)
