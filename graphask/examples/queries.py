@@ -634,4 +634,4 @@ def qa_stream(star: StarSchema) -> DataFrame:
     star.questions.repartition(3).write.parquet(f"{base}/in")
     arriving = stream_questions(star.spark, f"{base}/in", max_files_per_trigger=1)
     answer_stream(arriving, star.engine, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
-    return star.spark.read.parquet(f"{base}/out").drop("batch_id")
+    return read_answers(star.spark, f"{base}/out").drop("batch_id")

@@ -24,4 +24,16 @@ def write_answers(answers: DataFrame, path: str, mode: str = "errorifexists", fm
 
 
 def read_answers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+    """The written answers, a task for each file or piece of one.
+
+    A file holds few different long texts, but tasks that read several files hold those of all. More than a writer's
+    dictionary takes, by default a megabyte, and it writes the rows so far whole, all in one page. How
+    files are dealt to tasks is a setting of the session that opens them, so they are opened by one of their own.
+    """
+    opening = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if opening.conf.isModifiable(key):
+            opening.conf.set(key, value)
+    opening.conf.set("spark.sql.files.openCostInBytes", opening.conf.get("spark.sql.files.maxPartitionBytes"))
+    answers = opening.read.format(fmt).load(path)
+    return spark.createDataFrame([], answers.schema).unionByName(answers)

@@ -145,3 +145,21 @@ def test_long_answers_are_stored_once_in_short_row_groups(spark, tmp_path):
     assert sum(group.num_rows for group in groups) == 3000 and max(group.num_rows for group in groups) <= 256
     assert max(group.total_byte_size for group in groups) < 1_000_000
     assert read_answers(spark, str(tmp_path / "answers")).exceptAll(answers).isEmpty()
+
+
+def test_a_task_reads_one_file_of_answers(spark, tmp_path):
+    """Twelve texts of 640 kB, each alone in a file: whoever writes them again meets one text a task."""
+    number = F.col("id") % 12
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda i: F.md5(F.concat_ws("-", i, number))), "")
+    answers = spark.range(0, 120, 1, 4).repartitionById(12, number.cast("int")).select("id", text.alias("answer"))
+    path = str(tmp_path / "answers")
+    write_answers(answers, path)
+    got = read_answers(spark, path)
+    dealt = got.select(F.spark_partition_id().alias("task"), F.input_file_name().alias("file")).distinct().collect()
+    assert len(dealt) == len({row["task"] for row in dealt}) == 12
+    got.write.parquet(str(tmp_path / "again"))
+    assert sum(file.stat().st_size for file in (tmp_path / "again").glob("*.parquet")) < 12_000_000
+    columns = ["id", F.md5("answer").alias("answer")]
+    assert sorted(got.select(columns).collect()) == sorted(answers.select(columns).collect())
+    got.createOrReplaceTempView("answers_of_one_file")
+    assert spark.sql("SELECT count(*) AS n FROM answers_of_one_file").first()["n"] == 120
