@@ -163,3 +163,19 @@ def test_a_task_reads_one_file_of_answers(spark, tmp_path):
     assert sorted(got.select(columns).collect()) == sorted(answers.select(columns).collect())
     got.createOrReplaceTempView("answers_of_one_file")
     assert spark.sql("SELECT count(*) AS n FROM answers_of_one_file").first()["n"] == 120
+
+
+def test_a_long_answer_takes_little_room_in_each_row_group(spark, tmp_path):
+    """A sorted list of 760 kB that 2 000 questions share: eight row groups hold it."""
+    names = F.transform(F.sequence(F.lit(0), F.lit(900_000), F.lit(25)), lambda i: F.format_string("Customer#%09d", i))
+    one = spark.range(1).select(F.array_join(names, "、").alias("answer"))
+    write_answers(spark.range(0, 2000, 1, 1).join(F.broadcast(one)), str(tmp_path / "answers"))
+    stored = [pq.ParquetFile(file).metadata for file in (tmp_path / "answers").glob("*.parquet")]
+    groups = [meta.row_group(i) for meta in stored for i in range(meta.num_row_groups)]
+    answers = [group.column(1) for group in groups]
+    assert [column.path_in_schema for column in answers] == ["answer"] * 8
+    assert sum(column.total_uncompressed_size for column in answers) > 8 * 750_000
+    assert sum(column.total_compressed_size for column in answers) < 8 * 75_000
+    assert all(group.column(0).is_stats_set and not group.column(1).is_stats_set for group in groups)
+    found = read_answers(spark, str(tmp_path / "answers")).groupBy(F.md5("answer").alias("answer")).count().collect()
+    assert found == one.select(F.md5("answer").alias("answer"), F.lit(2000).alias("count")).collect()
