@@ -185,3 +185,22 @@ def test_rounds_write_no_tables(spark, monkeypatch):
     tr.fit_boosted(points, rounds=3, depth=2)
     tr.fit_tree(points, 3)
     assert sorted(written) == ["tree-texts", "tree-texts", "tree-words", "tree-words"]
+
+
+def test_sums_are_shuffled_in_few_rows(spark, monkeypatch):
+    """Thousands of words, whose sums a task packs into a row for each piece of the shuffle."""
+    rows, n_words = _rows_with_rare_words()
+    points = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    shuffled, repartition = [], type(points).repartition
+    monkeypatch.setattr(type(points), "repartition", lambda df, *by: shuffled.append(df.count()) or repartition(df, *by))
+    tr.fit_boosted(points, rounds=1, depth=1)
+    tr.fit_tree(points, 1)
+    n_labels = len({row[1] for row in rows})
+    assert n_words > 4000 and shuffled and max(shuffled) <= 4 * 4 * n_labels
+
+
+@pytest.mark.parametrize("values", [[], [5], [3, 1, 3, 0], [-2, 7, -2], [1 << 40, 2, 1 << 40], list(range(50, 0, -1)) * 3])
+def test_codes_are_places_among_the_different_values(values):
+    values = np.array(values, np.int64)
+    different, codes = tr._codes(values)
+    assert different.tolist() == sorted(set(values.tolist())) and different[codes].tolist() == values.tolist()
