@@ -326,7 +326,7 @@ def _language_scores(star: StarSchema) -> tuple[nb.NaiveBayesTable, DataFrame]:
 
 @query
 def feat_binary_bow(star: StarSchema) -> DataFrame:
-    hits = feature_hits(star.document_words, star.document_vocabulary, "doc_id")
+    hits = feature_hits(star.stored_words, star.document_vocabulary, "doc_id")
     return hits.select("doc_id", "idx")
 
 
@@ -334,7 +334,7 @@ def feat_binary_bow(star: StarSchema) -> DataFrame:
 def feat_labeled_points(star: StarSchema) -> DataFrame:
     """Every word of every labelled document, through one sparse row per document."""
     labelled = _labels(star)
-    hits = feature_hits(star.document_words, star.document_vocabulary, "doc_id").join(labelled.select("doc_id"), "doc_id")
+    hits = feature_hits(star.stored_words, star.document_vocabulary, "doc_id").join(labelled.select("doc_id"), "doc_id")
     points = tr.sparse_points(hits, labelled, "doc_id")
     return points.select("doc_id", "label", F.explode("idxs").alias("idx"), F.col("weight").alias("value"))
 
@@ -365,7 +365,7 @@ def ml_split(star: StarSchema) -> DataFrame:
 
 @query
 def ml_naive_bayes_fit(star: StarSchema) -> DataFrame:
-    train, _ = cl.split_by_key(star.document_words.withColumnRenamed("lang", "label"), "doc_id")
+    train, _ = cl.split_by_key(star.stored_words.withColumnRenamed("lang", "label"), "doc_id")
     hits = feature_hits(train, star.document_vocabulary, "doc_id", carry=["label"])
     model = nb.fit_table(hits, train.select("doc_id", "label"), star.document_vocabulary)
     return model.to_long().select(
@@ -380,7 +380,7 @@ def ml_naive_bayes_fit(star: StarSchema) -> DataFrame:
 def ml_naive_bayes_counts(star: StarSchema) -> DataFrame:
     """Count features, labels 1 and 2, trained on labelled documents, every document scored."""
     # Written once: the model is fitted on the counts and scores them.
-    counts = stored(feature_hits(star.document_words, star.document_vocabulary, "doc_id", binary=False), "document-counts")
+    counts = stored(feature_hits(star.stored_words, star.document_vocabulary, "doc_id", binary=False), "document-counts")
     labels = star.table("labels").select("doc_id", (F.col("quality") + 1).alias("label"))
     model = nb.fit_table(counts.join(labels, "doc_id"), labels, star.document_vocabulary, value="value")
     scores = nb.score_table(model, star.table("documents"), counts, "doc_id", value="value")

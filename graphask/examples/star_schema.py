@@ -183,17 +183,22 @@ class StarSchema:
         """``doc_id, lang, words``: the tokens of every document."""
         return self.table("documents").select("doc_id", "lang", tx.tokenize(F.col("text")).alias("words"))
 
+    @cached_property
+    def stored_words(self) -> DataFrame:
+        """:attr:`document_words` written once, for all that pass over them several times."""
+        return stored(self.document_words, "document-words")
+
     @cached_property
     def document_vocabulary(self) -> DataFrame:
         """``word, idx`` of every word of the documents, numbered in their order."""
-        words = self.document_words.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
+        words = self.stored_words.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
         numbered = with_position(words, ["word"])
         return stored(numbered.select(F.col("idx").cast("int").alias("idx"), "word"), "document-vocabulary")
 
     @cached_property
     def document_hits(self) -> DataFrame:
         """``doc_id, lang, idx``: the distinct words of every document, by number."""
-        return stored(feature_hits(self.document_words, self.document_vocabulary, "doc_id", carry=["lang"]), "document-hits")
+        return stored(feature_hits(self.stored_words, self.document_vocabulary, "doc_id", carry=["lang"]), "document-hits")
 
     @cached_property
     def language_points(self) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from graphask.examples import star_schema
 from graphask.examples.queries import QUERIES
 from graphask.operators import classifiers as cl
 from graphask.operators import naive_bayes as nb
@@ -182,3 +183,16 @@ def test_document_counts_are_written_once_and_scored(spark, tmp_path):
     for doc_id, text, _ in docs:
         a, b = (math.prod(chance[word] for word in text.split()) for chance in (first, second))
         assert got[doc_id] == pytest.approx(a / (a + b), abs=2e-6)
+
+
+def test_documents_are_tokenized_once(spark, tmp_path, monkeypatch):
+    """The words are written once; what passes over them several times reads those."""
+    texts = [(i, ("a b c", "b c d d", "", None)[i % 4], ("en", "fr", None)[i % 3]) for i in range(24)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    read, written = {}, star_schema.stored
+    monkeypatch.setattr(star_schema, "stored", lambda df, name: read.update({name: df.inputFiles()}) or written(df, name))
+    star = star_schema.StarSchema(spark, str(tmp_path))
+    hits = sorted((row["doc_id"], row["idx"]) for row in star.document_hits.collect())
+    assert hits == sorted((i, ord(w) - ord("a")) for i, text, _ in texts for w in sorted(set((text or "").split())))
+    assert [name for name, files in read.items() if any("documents.parquet" in file for file in files)] == ["document-words"]
+    assert sorted(read) == ["document-hits", "document-vocabulary", "document-words"]
